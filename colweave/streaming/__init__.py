@@ -1,0 +1 @@
+"""Column matching is a batch job: it needs every value of both tables, so there is no stream operator."""
