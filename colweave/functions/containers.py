@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import DELIMITERS, contains_norm, escape_regex, normalize, strip_space, strip_wrappers
+from .text import (
+    DELIMITERS,
+    contains_norm,
+    escape_regex,
+    normalize,
+    normalize_stripped,
+    strip_space,
+    strip_wrappers,
+    stripped,
+)
 
 # Fixed values.
 BRACKETS = [("{", "}"), ("[", "]"), ("(", ")")]
@@ -35,50 +44,62 @@ def split_norm(norm: Column, mode: str) -> Column:
     raise ValueError(f"unknown delimiter split mode: {mode}")
 
 
-def is_wrapped(raw: Column) -> Column:
-    text = strip_space(F.coalesce(raw, F.lit("")))
-    return _wrapped(text)
+# The ``*_of`` forms take a cell already stripped (``text.stripped``): lambdas share no
+# subexpressions, so the engine strips once per cell and passes the result on.
 
 
-def _wrapped(text: Column) -> Column:
+def is_wrapped_of(text: Column) -> Column:
     cond = F.lit(False)
     for opening, closing in BRACKETS:
         cond = cond | (F.startswith(text, F.lit(opening)) & F.endswith(text, F.lit(closing)))
     return cond
 
 
+def container_type_of(text: Column) -> Column:
+    return (
+        F.when(text == "", F.lit("empty"))
+        .when(is_wrapped_of(text), F.lit("wrapped_list"))
+        .when(text.rlike(f"[{DELIMITERS}]"), F.lit("delimited_list"))
+        .otherwise(F.lit("single"))
+    )
+
+
+def wrapped_elements_of(text: Column, wrapped: Column) -> Column:
+    inner = strip_space(text.substr(F.lit(2), F.length(text) - 2))
+    parts = F.filter(F.transform(F.split(inner, ","), lambda p: strip_space(p)), lambda p: p != "")
+    return F.when(wrapped, F.transform(parts, lambda p: normalize(p))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def is_wrapped(raw: Column) -> Column:
+    """First and last character of the trimmed cell are a bracket pair."""
+    return is_wrapped_of(stripped(raw))
+
+
 def wrapped_elements(raw: Column) -> Column:
     """Comma items of a bracketed cell, each normalised; empty for other cells.
 
     Parts that are blank as written are dropped before normalising, so a quoted
     empty item stays as ``""``.
     """
-    text = strip_space(F.coalesce(raw, F.lit("")))
-    inner = strip_space(text.substr(F.lit(2), F.length(text) - 2))
-    parts = F.filter(F.transform(F.split(inner, ","), lambda p: strip_space(p)), lambda p: p != "")
-    return F.when(_wrapped(text), F.transform(parts, lambda p: normalize(p))).otherwise(
-        F.array().cast("array<string>")
-    )
+    text = stripped(raw)
+    return wrapped_elements_of(text, is_wrapped_of(text))
 
 
 def split_wrapped(raw: Column) -> Column:
     """Split mode ``wrapped``: bracketed cells by comma, any other cell as one element."""
-    text = strip_space(F.coalesce(raw, F.lit("")))
+    text = stripped(raw)
     return (
         F.when(text == "", F.array().cast("array<string>"))
-        .when(_wrapped(text), wrapped_elements(raw))
-        .otherwise(F.array(normalize(raw)))
+        .when(is_wrapped_of(text), wrapped_elements(raw))
+        .otherwise(F.array(normalize_stripped(text)))
     )
 
 
 def container_type(raw: Column) -> Column:
-    text = strip_space(F.coalesce(raw, F.lit("")))
-    return (
-        F.when(text == "", F.lit("empty"))
-        .when(_wrapped(text), F.lit("wrapped_list"))
-        .when(text.rlike(f"[{DELIMITERS}]"), F.lit("delimited_list"))
-        .otherwise(F.lit("single"))
-    )
+    """``empty``, ``wrapped_list``, ``delimited_list`` or ``single``."""
+    return container_type_of(stripped(raw))
 
 
 def listlike_member(a_norm: Column, b_norm: Column) -> Column:

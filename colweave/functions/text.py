@@ -32,10 +32,18 @@ def strip_wrappers(c: Column) -> Column:
     return F.btrim(c, F.lit(WRAPPER_CHARS))
 
 
+def stripped(raw: Column) -> Column:
+    """The cell as text without outer whitespace; null becomes ``""``."""
+    return strip_space(F.coalesce(raw.cast("string"), F.lit("")))
+
+
+def normalize_stripped(text: Column) -> Column:
+    return F.lower(F.regexp_replace(strip_wrappers(text), rf"(?U){SPACE}+", " "))
+
+
 def normalize(c: Column) -> Column:
     """Null becomes ``""``; trim, strip wrappers and quotes, collapse blanks, lower-case."""
-    text = strip_space(F.coalesce(c.cast("string"), F.lit("")))
-    return F.lower(F.regexp_replace(strip_wrappers(text), rf"(?U){SPACE}+", " "))
+    return normalize_stripped(stripped(c))
 
 
 def word_tokens(norm: Column) -> Column:

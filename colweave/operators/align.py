@@ -39,23 +39,39 @@ def _cells(columns: Sequence[str]) -> Column:
     )
 
 
-def side_table(
-    df: DataFrame, id_col: str, columns: Sequence[str], null_ids: str = "match"
-) -> DataFrame:
-    """``id`` as text, ``key`` as typed (for ordering) and the candidate cells as text."""
+def _identified(df: DataFrame, id_col: str, null_ids: str, *rest: Column) -> DataFrame:
+    """Rows with ``id`` as text, ``key`` as typed (for ordering) and ``rid``, never null.
+
+    Joining and grouping on ``rid`` lets a null id meet a null id by plain equality.
+    """
     if null_ids not in ("match", "drop"):
         raise ValueError("null_ids must be 'match' or 'drop'")
     if null_ids == "drop":
         df = df.where(quoted(id_col).isNotNull())
-    return df.select(
-        quoted(id_col).cast("string").alias("id"),
-        quoted(id_col).alias("key"),
-        _cells(columns).alias("cells"),
-    )
+    text = quoted(id_col).cast("string")
+    rid = F.coalesce(F.concat(F.lit("="), text), F.lit(""))
+    return df.select(rid.alias("rid"), text.alias("id"), quoted(id_col).alias("key"), *rest)
+
+
+def _by_id(df: DataFrame) -> DataFrame:
+    """The one exchange of a side: merging and joining by id both reuse it.
+
+    The partition number is explicit, as the work after the join (every column
+    pair of every row) is CPU that AQE would not see in the bytes of this shuffle.
+    """
+    return df.repartition(task_count(df.sparkSession), "rid")
+
+
+def side_table(
+    df: DataFrame, id_col: str, columns: Sequence[str], null_ids: str = "match"
+) -> DataFrame:
+    """``rid``, ``id``, ``key`` and the candidate cells as text."""
+    return _by_id(_identified(df, id_col, null_ids, _cells(columns).alias("cells")))
 
 
-def require_unique_ids(side: DataFrame, what: str) -> None:
-    if not side.groupBy("id").count().where("count > 1").isEmpty():
+def require_unique_ids(df: DataFrame, id_col: str, what: str, null_ids: str = "match") -> None:
+    ids = _identified(df, id_col, null_ids).groupBy("rid").count()
+    if not ids.where("count > 1").isEmpty():
         raise ValueError(
             f"{what} repeats an id; this profile needs unique ids (or pass merge_duplicates=True)"
         )
@@ -82,23 +98,16 @@ def merge_duplicates(
     Ids with more than ``hot_rows`` rows are first joined per range of the order,
     so no task ever holds all the rows of such an id, only its finished cell.
     """
-    if null_ids == "drop":
-        df = df.where(quoted(id_col).isNotNull())
     names = [f"c{i}" for i in range(len(columns))]
     order = [quoted(c).alias(f"o{i}") for i, c in enumerate(order_by)]
     texts = [quoted(c).cast("string").alias(n) for c, n in zip(columns, names)]
-    rows = df.select(
-        quoted(id_col).cast("string").alias("id"),
-        quoted(id_col).alias("key"),
-        F.struct(*order, *texts).alias("row") if order or texts else F.struct(F.lit(0).alias("o")).alias("row"),
-    )
-    merged = _merge_small(rows, names)
-    hot = rows.groupBy("id").count().where(F.col("count") > hot_rows).select(F.col("id").alias("hot"))
+    fields = order + texts or [F.lit(0).alias("o")]
+    rows = _identified(df, id_col, null_ids, F.struct(*fields).alias("row"))
+    hot = rows.groupBy("rid").count().where(F.col("count") > hot_rows).select("rid")
     if hot.isEmpty():
-        return merged
-    is_hot = F.col("id").eqNullSafe(F.col("hot"))
-    cold = _merge_small(rows.join(hot, is_hot, "left_anti"), names)
-    return cold.unionByName(_merge_hot(rows.join(hot, is_hot, "left_semi"), names))
+        return _merge_small(rows, names)
+    cold = _merge_small(rows.join(hot, "rid", "left_anti"), names)
+    return cold.unionByName(_merge_hot(rows.join(hot, "rid", "left_semi"), names))
 
 
 def _cell_array(names: Sequence[str], cell) -> Column:
@@ -109,38 +118,45 @@ def _cell_array(names: Sequence[str], cell) -> Column:
     )
 
 
+def _gather(row: str) -> list[Column]:
+    return [
+        F.first("id").alias("id"),
+        F.min("key").alias("key"),
+        F.sort_array(F.collect_list(row)).alias("rows"),
+    ]
+
+
+def _joined_cells(names: Sequence[str]) -> Column:
+    return _cell_array(names, lambda n: _join_rows(F.col("rows"), n)).alias("cells")
+
+
 def _merge_small(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    grouped = rows.groupBy("id").agg(
-        F.min("key").alias("key"), F.sort_array(F.collect_list("row")).alias("rows")
-    )
-    return grouped.select("id", "key", _cell_array(names, lambda n: _join_rows(F.col("rows"), n)).alias("cells"))
+    merged = _by_id(rows).groupBy("rid").agg(*_gather("row"))
+    return merged.select("rid", "id", "key", _joined_cells(names))
 
 
 def _merge_hot(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    ranges = task_count(rows.sparkSession)
-    ranged = rows.repartitionByRange(ranges, "id", "row").withColumn("range", F.spark_partition_id())
+    ranged = rows.repartitionByRange(task_count(rows.sparkSession), "rid", "row")
     pieces = (
-        ranged.groupBy("id", "range")
-        .agg(F.min("key").alias("key"), F.sort_array(F.collect_list("row")).alias("rows"))
-        .select("id", "range", "key", *[_join_rows(F.col("rows"), n).alias(n) for n in names])
-    )
-    whole = pieces.groupBy("id").agg(
-        F.min("key").alias("key"),
-        F.sort_array(F.collect_list(F.struct("range", *names))).alias("rows"),
+        ranged.withColumn("range", F.spark_partition_id())
+        .groupBy("rid", "range")
+        .agg(*_gather("row"))
+        .select("rid", "range", "id", "key", *[_join_rows(F.col("rows"), n).alias(n) for n in names])
     )
-    return whole.select("id", "key", _cell_array(names, lambda n: _join_rows(F.col("rows"), n)).alias("cells"))
+    piece = F.struct("range", *names).alias("piece")
+    whole = pieces.select("rid", "id", "key", piece).groupBy("rid").agg(*_gather("piece"))
+    return whole.select("rid", "id", "key", _joined_cells(names))
 
 
 def align(source: DataFrame, dash: DataFrame) -> DataFrame:
     """Inner join of two side tables on the id as text; a null id meets a null id."""
-    s = source.select(F.col("id").alias("s_id"), F.col("cells").alias("s_cells"))
-    d = dash.select("id", "key", F.col("cells").alias("d_cells"))
-    return d.join(s, F.col("id").eqNullSafe(F.col("s_id")), "inner").drop("s_id")
+    s = source.select("rid", F.col("cells").alias("s_cells"))
+    d = dash.select("rid", "id", "key", F.col("cells").alias("d_cells"))
+    return d.join(s, "rid").drop("rid")
 
 
 def has_common_ids(source: DataFrame, dash: DataFrame) -> bool:
-    ids = source.select(F.col("id").alias("s_id"))
-    return not dash.join(ids, F.col("id").eqNullSafe(F.col("s_id")), "left_semi").isEmpty()
+    return not dash.select("rid").join(source.select("rid"), "rid", "left_semi").isEmpty()
 
 
 def sample_ids(aligned: DataFrame, n: int) -> DataFrame:

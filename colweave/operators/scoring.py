@@ -60,16 +60,29 @@ def containment_score(profile: Profile, d: Column, s: Column) -> dict[str, Colum
     }
 
 
+def native_features(profile: Profile, a: Column, b: Column) -> dict[str, Column]:
+    """What a scorer derives from the two values without fuzzy measures."""
+    if profile.scorer in ("unified", "rowwise"):
+        out = {
+            "exact": X.exact_match(a, b),
+            "substring": X.substring_match(a, b),
+            "list_item": X.item_match(a, C.split_norm(b, profile.split)),
+        }
+        if profile.scorer == "unified":
+            out["token_containment"] = X.share_found(X.word_tokens(a), X.word_tokens(b))
+            out["char3_containment"] = X.share_found(X.char_ngrams(a), X.char_ngrams(b))
+        return out
+    if profile.scorer == "hybrid":
+        return {}
+    return {"boundary": X.boundary_substring(a, b)}
+
+
 def unified_metrics(
-    profile: Profile, a: Column, b: Column, ratio: Column, partial: Column, lev: Column, cosine: Column
+    profile: Profile, native: dict[str, Column], ratio: Column, partial: Column, lev: Column, cosine: Column
 ) -> dict[str, Column]:
     w = profile.weights
     out = {
-        "exact": X.exact_match(a, b),
-        "substring": X.substring_match(a, b),
-        "list_item": X.item_match(a, C.split_norm(b, profile.split)),
-        "token_containment": X.share_found(X.word_tokens(a), X.word_tokens(b)),
-        "char3_containment": X.share_found(X.char_ngrams(a), X.char_ngrams(b)),
+        **native,
         "rf_partial": partial,
         "rf_ratio": ratio,
         "levenshtein": lev,
@@ -80,13 +93,13 @@ def unified_metrics(
 
 
 def rowwise_score(
-    profile: Profile, a: Column, b: Column, ratio: Column, partial: Column, cosine: Column
+    profile: Profile, native: dict[str, Column], ratio: Column, partial: Column, cosine: Column
 ) -> Column:
     w = profile.weights
     score = (
-        w["exact"] * X.exact_match(a, b)
-        + w["substring"] * X.substring_match(a, b)
-        + w["list_item"] * X.item_match(a, C.split_norm(b, profile.split))
+        w["exact"] * native["exact"]
+        + w["substring"] * native["substring"]
+        + w["list_item"] * native["list_item"]
         + w["rf_partial"] * partial
         + w["rf_ratio"] * ratio
         + w["tfidf"] * cosine
@@ -141,12 +154,19 @@ SUBSTRING_BOOSTS, SUBSTRING_LOOSE = [0.25, 0.15, -0.15, 0.10, -0.10], 0.80
 
 
 def guarded_score(
-    profile: Profile, a: Column, b: Column, ratio: Column, partial: Column, lev: Column, cosine: Column
+    profile: Profile,
+    a: Column,
+    b: Column,
+    boundary: Column,
+    ratio: Column,
+    partial: Column,
+    lev: Column,
+    cosine: Column,
 ) -> Column:
     base = blend(profile, ratio, partial, lev, cosine)
     exact = _gated(profile, a, b, partial, cosine, EXACT_BOOSTS, EXACT_LOOSE)
     inside = F.when(
-        X.boundary_substring(a, b),
+        boundary,
         _gated(profile, a, b, partial, cosine, SUBSTRING_BOOSTS, SUBSTRING_LOOSE),
     ).otherwise(F.lit(0.0))
     if profile.equal_score is None:
@@ -159,83 +179,98 @@ def guarded_score(
 
 
 def element_scores(
-    profile: Profile, a: Column, b: Column, ratio: Column, partial: Column, lev: Column, cosine: Column
+    profile: Profile,
+    a: Column,
+    b: Column,
+    ratio: Column,
+    partial: Column,
+    lev: Column,
+    cosine: Column,
+    native: dict[str, Column] | None = None,
 ) -> dict[str, Column]:
+    """Scores of one element pair from its measures; ``native`` passes stored features."""
+    native = native_features(profile, a, b) if native is None else native
     if profile.scorer == "unified":
-        return unified_metrics(profile, a, b, ratio, partial, lev, cosine)
+        return unified_metrics(profile, native, ratio, partial, lev, cosine)
     if profile.scorer == "rowwise":
-        return {"score": rowwise_score(profile, a, b, ratio, partial, cosine)}
+        return {"score": rowwise_score(profile, native, ratio, partial, cosine)}
     if profile.scorer == "hybrid":
         return {"score": hybrid_score(profile, a, b, ratio, partial, lev, cosine)}
-    return {"score": guarded_score(profile, a, b, ratio, partial, lev, cosine)}
+    return {"score": guarded_score(profile, a, b, native["boundary"], ratio, partial, lev, cosine)}
 
 
 # ---- per-cell features ----------------------------------------------------------------------
 
 
-def _elements(parts: Column, norm: Column) -> Column:
-    """Element set of a cell: the whole value when splitting leaves nothing, blanks dropped.
+def _staged(cells: Column, *stages) -> Column:
+    """Extend the cell structs stage by stage.
 
-    A score is the best over element pairs, so order and repeats do not matter and
-    a sorted set lets cells with the same elements collapse into one.
+    Each stage maps a cell to its new fields and sees those of the stages before,
+    so nothing is computed twice: lambda bodies share no subexpressions.
     """
-    found = F.when(F.size(parts) == 0, F.array(norm)).otherwise(parts)
-    # The scorers normalise an element once more; after the first pass that only strips its ends.
-    clean = F.filter(F.transform(found, lambda p: X.strip_wrappers(p)), lambda p: p != "")
-    return F.array_sort(F.array_distinct(clean))
+    fields = ["ord", "raw"]
 
+    def extend(stage, have):
+        def body(c):
+            new = stage(c)
+            fields.extend(new)
+            return F.struct(*[c[f].alias(f) for f in have], *[v.alias(k) for k, v in new.items()])
 
-def _enrich(cells: Column, extra) -> Column:
-    """Cells with their normal form and the features ``extra(cell)`` computes from it."""
-    with_norm = F.transform(
-        cells,
-        lambda c: F.struct(
-            c["ord"].alias("ord"), c["raw"].alias("raw"), X.normalize(c["raw"]).alias("norm")
-        ),
-    )
-    return F.transform(
-        with_norm,
-        lambda c: F.struct(
-            c["ord"].alias("ord"), c["raw"].alias("raw"), c["norm"].alias("norm"), *extra(c)
-        ),
-    )
+        return body
 
+    for stage in stages:
+        cells = F.transform(cells, extend(stage, tuple(fields)))
+    return cells
 
-def cell_features(profile: Profile, cells: Column, side: str) -> Column:
-    """Everything a scorer needs of one cell, computed once per cell rather than per pair."""
-    if profile.scorer == "containment":
 
-        def extra(c):
-            out = [
-                X.word_tokens(c["norm"]).alias("tokens"),
-                F.array_distinct(X.char_ngrams(c["norm"])).alias("grams"),
-            ]
-            if side == "source":
-                out.append(C.split_norm(c["norm"], profile.split).alias("items"))
-            return out
+def _norm(c):
+    return {"norm": X.normalize(c["raw"])}
 
-    elif profile.scorer in ("unified", "rowwise"):
 
-        def extra(c):
-            return [F.array(c["norm"]).alias("els")]
+def _element_set(c):
+    """Element set of a cell: the whole value when splitting leaves nothing, blanks dropped.
 
-    elif profile.scorer in ("hybrid", "guarded"):
+    A score is the best over element pairs, so order and repeats do not matter and
+    a sorted set lets cells with the same elements collapse into one.
+    """
+    found = F.when(F.size(c["parts"]) == 0, F.array(c["norm"])).otherwise(c["parts"])
+    # The scorers normalise an element once more; after the first pass that only strips its ends.
+    clean = F.filter(F.transform(found, lambda p: X.strip_wrappers(p)), lambda p: p != "")
+    return {"els": F.when(F.size(clean) > 1, F.array_sort(F.array_distinct(clean))).otherwise(clean)}
 
-        def extra(c):
-            return [_elements(C.split_norm(c["norm"], profile.split), c["norm"]).alias("els")]
 
-    else:
+def cell_features(profile: Profile, cells: Column, side: str) -> Column:
+    """Everything a scorer needs of one cell, computed once per cell rather than per pair."""
+    if profile.scorer == "containment":
 
-        def extra(c):
-            out = [_elements(C.split_wrapped(c["raw"]), c["norm"]).alias("els")]
+        def measures(c):
+            out = {
+                "tokens": X.word_tokens(c["norm"]),
+                "grams": F.array_distinct(X.char_ngrams(c["norm"])),
+            }
             if side == "source":
-                out += [
-                    C.container_type(c["raw"]).alias("kind"),
-                    C.wrapped_elements(c["raw"]).alias("items"),
-                ]
+                out["items"] = C.split_norm(c["norm"], profile.split)
             return out
 
-    return _enrich(cells, extra)
+        return _staged(cells, _norm, measures)
+    if profile.scorer in ("unified", "rowwise"):
+        return _staged(cells, _norm, lambda c: {"els": F.array(c["norm"])})
+    if profile.scorer in ("hybrid", "guarded"):
+        return _staged(
+            cells,
+            _norm,
+            lambda c: {"parts": C.split_norm(c["norm"], profile.split)},
+            _element_set,
+        )
+    # Tagged: ``items`` of a bracketed cell serve the list test and are its elements.
+    return _staged(
+        cells,
+        lambda c: {"text": X.stripped(c["raw"])},
+        lambda c: {"norm": X.normalize_stripped(c["text"]), "kind": C.container_type_of(c["text"])},
+        lambda c: {"items": C.wrapped_elements_of(c["text"], c["kind"] == "wrapped_list")},
+        lambda c: {"parts": F.when(c["kind"] == "wrapped_list", c["items"]).otherwise(F.array(c["norm"]))},
+        _element_set,
+    )
 
 
 def with_features(profile: Profile, aligned: DataFrame) -> DataFrame:
@@ -268,11 +303,13 @@ def _ceiling(profile: Profile, a: Column, b: Column) -> Column:
 
 
 def _may_reach(profile: Profile, d_els: Column, s_els: Column, penalty: Column, floor: float) -> Column:
-    return F.exists(
-        d_els,
-        lambda a: F.exists(
-            s_els, lambda b: _ceiling(profile, a, b) * penalty >= F.lit(floor - SLACK)
-        ),
+    bar = F.lit(floor - SLACK)
+    # Most cells are single values: their test compiles, the nested lambdas are interpreted.
+    single = (F.size(d_els) == 1) & (F.size(s_els) == 1)
+    return F.when(single, _ceiling(profile, d_els[0], s_els[0]) * penalty >= bar).otherwise(
+        F.exists(
+            d_els, lambda a: F.exists(s_els, lambda b: _ceiling(profile, a, b) * penalty >= bar)
+        )
     )
 
 
@@ -388,7 +425,10 @@ def measure(profile: Profile, pairs: DataFrame) -> DataFrame:
         lev = ratio
     else:
         lev = closed.when(F.col("hard"), fuzzy.levenshtein_similarity(a, b)).otherwise(low / high)
-    return scored.select("ek", "a", "b", ratio.alias("ratio"), partial.alias("partial"), lev.alias("lev"))
+    native = [v.alias(k) for k, v in native_features(profile, a, b).items()]
+    return scored.select(
+        "ek", "a", "b", ratio.alias("ratio"), partial.alias("partial"), lev.alias("lev"), *native
+    )
 
 
 def _closed_cosine(profile: Profile, prune_at: float | None) -> Column:
@@ -404,7 +444,9 @@ def _closed_cosine(profile: Profile, prune_at: float | None) -> Column:
         best = blend(profile, F.col("ratio"), F.col("partial"), F.col("lev"), F.lit(1.0))
         boost = F.when(F.contains(b, a), F.lit(max(EXACT_BOOSTS))).otherwise(F.lit(0.0))
         known = known.when(best + boost < F.lit(prune_at - SLACK), F.lit(0.0))
-    return known
+    # Longer shared grams hold a shared shortest one.
+    unlike = ~F.arrays_overlap(X.grams(a, shortest), X.grams(b, shortest))
+    return known.when(unlike, F.lit(0.0))
 
 
 def score_open(
@@ -436,12 +478,11 @@ def score_open(
     )
     cosine = F.coalesce(F.col("cosine"), F.col("tfidf"), F.lit(0.0))
     full = measured.join(cosines, "ek", "left")
+    stored = {k: F.col(k) for k in native_features(profile, F.col("a"), F.col("b"))}
     scores = element_scores(
-        profile, F.col("a"), F.col("b"), F.col("ratio"), F.col("partial"), F.col("lev"), F.col("cos")
-    )
-    scored = full.select("ek", "a", "b", "ratio", "partial", "lev", cosine.alias("cos")).select(
-        "ek", *[v.alias(k) for k, v in scores.items()]
+        profile, F.col("a"), F.col("b"), F.col("ratio"), F.col("partial"), F.col("lev"), F.col("cos"), stored
     )
+    scored = full.withColumn("cos", cosine).select("ek", *[v.alias(k) for k, v in scores.items()])
     joined = exploded.drop("a", "b").join(scored, "ek").drop("ek")
     if profile.scorer in ("unified", "rowwise"):
         return joined.drop("penalty")  # one element pair per row

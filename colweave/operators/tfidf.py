@@ -133,9 +133,10 @@ def cosine(
     )
     wa = weights.select(F.col("vk").alias("va"), "gram", F.col("w").alias("wa"))
     wb = weights.select(F.col("vk").alias("vb"), "gram", F.col("w").alias("wb"))
+    # Both sides are exploded terms whose size the planner underrates: never broadcast them.
     return (
-        terms.join(wa, ["va", "gram"])
-        .join(wb, ["vb", "gram"])
+        terms.join(wa.hint("merge"), ["va", "gram"])
+        .join(wb.hint("merge"), ["vb", "gram"])
         .groupBy("ek")
         .agg(F.sum(F.col("wa") * F.col("wb")).alias("tfidf"))
     )

@@ -51,9 +51,8 @@ def _sides(
         A.require_columns(df, cols, what)
         if profile.merge_duplicates:
             return A.merge_duplicates(df, id_col, cols, order, null_ids), cols
-        table = A.side_table(df, id_col, cols, null_ids)
-        A.require_unique_ids(table, what)
-        return table, cols
+        A.require_unique_ids(df, id_col, what, null_ids)
+        return A.side_table(df, id_col, cols, null_ids), cols
 
     s, s_cols = side(source, id_source, source_cols, source_order, "source")
     d, d_cols = side(dash, id_dash, dash_cols, dash_order, "dashboard")
