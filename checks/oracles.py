@@ -160,10 +160,16 @@ PAIRS = """pairs as (
   from dcells d join scells s on d.id = s.id
   where d.raw is not null and s.raw is not null)"""
 
-# Merged tables: nulls have become empty text and count.
-MERGED_PAIRS = PAIRS.replace("d.raw as dv, s.raw as sv", "coalesce(d.raw, '') as dv, coalesce(s.raw, '') as sv").replace(
-    "\n  where d.raw is not null and s.raw is not null", ""
-)
+
+
+def merged_value(x: str) -> str:
+    """Merging turns null and blank cells into empty text, which counts."""
+    return f"case when {x} is null or {strip(x)} = '' then '' else {x} end"
+
+
+MERGED_PAIRS = PAIRS.replace(
+    "d.raw as dv, s.raw as sv", f"{merged_value('d.raw')} as dv, {merged_value('s.raw')} as sv"
+).replace("\n  where d.raw is not null and s.raw is not null", "")
 
 
 def elements(mode: str) -> str:
@@ -239,7 +245,7 @@ def corpus(policy: str) -> str:
     both = "select id, raw from dcells union all select id, raw from scells"
     common = "id in (select id from dash intersect select id from src)"
     if policy == "all_cells":
-        return f"docs as (select {norm('raw')} as doc, count(*) as times from ({both}) where raw <> '' group by 1)"
+        return f"docs as (select {norm('raw')} as doc, count(*) as times from ({both}) where {strip('raw')} <> '' group by 1)"
     if policy == "common_cells":
         return f"docs as (select {norm('raw')} as doc, count(*) as times from ({both}) where raw <> '' and {common} group by 1)"
     ids = " union all select id, id as raw from dash" if policy == "common_distinct_with_id" else ""
