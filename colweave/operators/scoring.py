@@ -466,8 +466,13 @@ def score_open(
     exploded = (
         rows.select(*keep, F.explode("d_els").alias("a"), "s_els")
         .select(*keep, "a", F.explode("s_els").alias("b"))
-        .withColumn("ek", pair_key(F.col("a"), F.col("b")))
     )
+    if prune and profile.prune_floor is not None:
+        # Element pairs that cannot lift their row over the threshold; every open row has one that can.
+        ceiling = _ceiling(profile, F.col("a"), F.col("b")) * F.col("penalty")
+        can = ceiling >= F.lit(profile.threshold("similarity") - SLACK)
+        exploded = exploded.where(can if profile.best_equal is not None else can | (F.col("a") == F.col("b")))
+    exploded = exploded.withColumn("ek", pair_key(F.col("a"), F.col("b")))
     distinct = exploded.select("ek", "a", "b").distinct()
     prune_at = profile.prune_floor if prune else None
     measured = ws.table(
