@@ -23,7 +23,7 @@ def normal(value):
     if hasattr(value, "as_tuple"):
         value = float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 5) + 0.0
+        return "nan" if math.isnan(value) else round(value, 6) + 0.0
     return value
 
 

@@ -53,20 +53,28 @@ def _identified(df: DataFrame, id_col: str, null_ids: str, *rest: Column) -> Dat
     return df.select(rid.alias("rid"), text.alias("id"), quoted(id_col).alias("key"), *rest)
 
 
-def _by_id(df: DataFrame) -> DataFrame:
+def _by_id(df: DataFrame, tasks: int) -> DataFrame:
     """The one exchange of a side: merging and joining by id both reuse it.
 
     The partition number is explicit, as the work after the join (every column
     pair of every row) is CPU that AQE would not see in the bytes of this shuffle.
     """
-    return df.repartition(task_count(df.sparkSession), "rid")
+    return df.repartition(tasks, "rid")
 
 
 def side_table(
-    df: DataFrame, id_col: str, columns: Sequence[str], null_ids: str = "match"
+    df: DataFrame,
+    id_col: str,
+    columns: Sequence[str],
+    null_ids: str = "match",
+    tasks: int | None = None,
 ) -> DataFrame:
-    """``rid``, ``id``, ``key`` and the candidate cells as text."""
-    return _by_id(_identified(df, id_col, null_ids, _cells(columns).alias("cells")))
+    """``rid``, ``id``, ``key`` and the candidate cells as text, in ``tasks`` partitions by id.
+
+    Tables to be joined want the same ``tasks`` (default: by their own size).
+    """
+    cells = _identified(df, id_col, null_ids, _cells(columns).alias("cells"))
+    return _by_id(cells, tasks or task_count(df))
 
 
 def require_unique_ids(df: DataFrame, id_col: str, what: str, null_ids: str = "match") -> None:
@@ -91,6 +99,7 @@ def merge_duplicates(
     order_by: Sequence[str] = (),
     null_ids: str = "match",
     hot_rows: int = HOT_ROWS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One row per id; each cell joins the id's non-blank values in ``order_by`` order.
 
@@ -104,10 +113,11 @@ def merge_duplicates(
     fields = order + texts or [F.lit(0).alias("o")]
     rows = _identified(df, id_col, null_ids, F.struct(*fields).alias("row"))
     hot = rows.groupBy("rid").count().where(F.col("count") > hot_rows).select("rid")
+    tasks = tasks or task_count(df)
     if hot.isEmpty():
-        return _merge_small(rows, names)
-    cold = _merge_small(rows.join(hot, "rid", "left_anti"), names)
-    return cold.unionByName(_merge_hot(rows.join(hot, "rid", "left_semi"), names))
+        return _merge_small(rows, names, tasks)
+    cold = _merge_small(rows.join(hot, "rid", "left_anti"), names, tasks)
+    return cold.unionByName(_merge_hot(rows.join(hot, "rid", "left_semi"), names, tasks))
 
 
 def _cell_array(names: Sequence[str], cell) -> Column:
@@ -130,13 +140,13 @@ def _joined_cells(names: Sequence[str]) -> Column:
     return _cell_array(names, lambda n: _join_rows(F.col("rows"), n)).alias("cells")
 
 
-def _merge_small(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    merged = _by_id(rows).groupBy("rid").agg(*_gather("row"))
+def _merge_small(rows: DataFrame, names: Sequence[str], tasks: int) -> DataFrame:
+    merged = _by_id(rows, tasks).groupBy("rid").agg(*_gather("row"))
     return merged.select("rid", "id", "key", _joined_cells(names))
 
 
-def _merge_hot(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    ranged = rows.repartitionByRange(task_count(rows.sparkSession), "rid", "row")
+def _merge_hot(rows: DataFrame, names: Sequence[str], tasks: int) -> DataFrame:
+    ranged = rows.repartitionByRange(tasks, "rid", "row")
     pieces = (
         ranged.withColumn("range", F.spark_partition_id())
         .groupBy("rid", "range")

@@ -411,7 +411,7 @@ def measure(profile: Profile, pairs: DataFrame) -> DataFrame:
         hard = hard & ~inside
     if profile.scorer == "hybrid":
         hard = hard & ~F.contains(b, a)
-    spread = pairs.repartition(task_count(pairs.sparkSession), "ek")
+    spread = pairs.repartition(task_count(pairs), "ek")
     scored = spread.withColumn("hard", hard).withColumn(
         "f",
         fuzzy.fuzzy_struct(

@@ -100,7 +100,7 @@ def unit_weights(
     values: DataFrame, vocabulary: DataFrame, broadcast_grams: int = BROADCAST_GRAMS
 ) -> DataFrame:
     """``(vk, gram, w)`` of distinct values ``(vk, el)``, L2-normalised per value."""
-    spread = values.repartition(task_count(values.sparkSession), "vk")
+    spread = values.repartition(task_count(values), "vk")
     # Grouping and norm are by (parts of) the partitioning key: no further shuffle.
     terms = (
         spread.select("vk", F.explode(gram_list(F.col("el"))).alias("gram"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import align as A, candidates as N, rank as R, scoring as S, tfidf
 from .profiles import Profile, get_profile
-from .workspace import Workspace
+from .workspace import Workspace, task_count
 
 NO_COMMON_IDS = "no common ids between source and dashboard"
 
@@ -46,13 +46,15 @@ def _sides(
     A.require_columns(source, [id_source, *source_order], "source")
     A.require_columns(dash, [id_dash, *dash_order], "dashboard")
 
+    tasks = task_count(source, dash)
+
     def side(df, id_col, cols, order, what):
         cols = list(A.candidate_columns(df, id_col, order) if cols is None else cols)
         A.require_columns(df, cols, what)
         if profile.merge_duplicates:
-            return A.merge_duplicates(df, id_col, cols, order, null_ids), cols
+            return A.merge_duplicates(df, id_col, cols, order, null_ids, tasks=tasks), cols
         A.require_unique_ids(df, id_col, what, null_ids)
-        return A.side_table(df, id_col, cols, null_ids), cols
+        return A.side_table(df, id_col, cols, null_ids, tasks), cols
 
     s, s_cols = side(source, id_source, source_cols, source_order, "source")
     d, d_cols = side(dash, id_dash, dash_cols, dash_order, "dashboard")

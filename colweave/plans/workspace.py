@@ -43,6 +43,22 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
-def task_count(spark: SparkSession) -> int:
-    """Partitions for CPU-bound stages, whose cost AQE cannot see in their bytes."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+#: Input bytes per task of a CPU-bound stage.
+TASK_BYTES = 4 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a frame reads, as the optimizer knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def task_count(*frames: DataFrame) -> int:
+    """Partitions for CPU-bound stages, whose cost AQE cannot see in their bytes.
+
+    By input size, at least one per core and at most ``spark.sql.shuffle.partitions``.
+    """
+    spark = frames[0].sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    wanted = sum(map(input_bytes, frames)) // TASK_BYTES + 1
+    return min(most, max(wanted, spark.sparkContext.defaultParallelism))
