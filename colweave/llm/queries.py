@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, language, licences, quality_model, quality_rules, reputation, secrets
+from . import bpe, chat, decontaminate, language, licences, near_dedup, quality_model, quality_rules, reputation, secrets
 from .common import fold, table
 from .sql import ORACLES
 
@@ -15,6 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     hits, h = decontaminate.benchmark_hits(docs, table(spark, sf, "benchmark"))
@@ -139,6 +143,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_minhash_dedup,
         op2_decontaminate,
         op3_license_scans,
         op4_url_filters,
