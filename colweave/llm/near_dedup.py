@@ -16,8 +16,9 @@
 4. *Large nodes* are split into random blocks, which give a spanning forest and a
    medoid each; the best medoid becomes the node's hub and is compared with every
    member.  A node whose members are all connected by confirmed links is done; of
-   the others every member is branched on, down to ``DEPTH``, where what is still
-   large and unconnected is compared block against block, without loss.
+   the others every member is branched on, down to ``DEPTH``.  Where a node is still
+   large and unconnected there, the members outside its largest component are
+   compared with all others, block against block, without loss.
 5. *Confirmation* counts the common shingles of the full sets.  Components of the
    confirmed links give the least id reachable.
 
@@ -43,11 +44,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.workspace import Workspace
-from .common import free_name, lower_words
+from .common import free_name
 from .components import components
 
 WORDS = 5
@@ -56,7 +56,7 @@ MINS = 128
 TREES = 6
 BRANCH = 2.0
 SMALL = 200
-DEPTH = 3
+DEPTH = 2
 #: Standard deviations that a signature's agreement may lie below the wanted similarity.
 SLACK = 4.5
 
@@ -64,9 +64,12 @@ SKETCH = "struct<n: bigint, cid: bigint, sig: binary, roots: array<bigint>>"
 FULL_SET = "struct<cid: bigint, shingles: array<bigint>>"
 _SKETCH = pa.struct([("n", pa.int64()), ("cid", pa.int64()), ("sig", pa.binary()), ("roots", pa.list_(pa.int64()))])
 _U = np.uint64
-_SEEDS = np.frombuffer(hashlib.shake_128(b"near-duplicates").digest(8 * (MINS + WORDS + TREES)), np.uint64) | _U(1)
+_SEEDS = np.frombuffer(hashlib.shake_128(b"near-duplicates").digest(8 * (MINS + WORDS + TREES + 257)), np.uint64) | _U(1)
 _MINWISE = (_SEEDS[:MINS] >> _U(32)).astype(np.uint32) | np.uint32(1)
-_PLACES, _TREE = _SEEDS[MINS : MINS + WORDS], _SEEDS[MINS + WORDS :]
+_PLACES, _TREE = _SEEDS[MINS : MINS + WORDS], _SEEDS[MINS + WORDS : MINS + WORDS + TREES]
+_WEIGHTS = np.cumprod(np.full(1024, _SEEDS[-1]))
+#: A number per byte: 0 for separators, the same for both cases of an ASCII letter.
+_BYTES = np.array([0 if c in b" \t\n\r\x0b\f" else _SEEDS[-257 + (c + 32 if 65 <= c <= 90 else c)] for c in range(256)], np.uint64)
 _AT = np.arange(MINS, dtype=np.uint64) << _U(32)
 _PICK = _U(int(BRANCH / MINS * 2**32))
 
@@ -78,12 +81,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased.
+
+    Bytes are replaced by random numbers (separators by 0), weighted by their place in
+    the word and summed, modulo 2^64.
+    """
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    value = _BYTES[raw]
+    in_word = value != 0
+    starts = np.flatnonzero(in_word & np.concatenate([[True], ~in_word[:-1]])) if len(raw) else raw
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    spans = np.diff(np.append(starts, len(raw)))
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, spans)
+    longest = int(spans.max())
+    weight = _WEIGHTS if longest <= len(_WEIGHTS) else np.cumprod(np.full(longest, _WEIGHTS[1]))
+    return mix(np.add.reduceat(value[starts[0] :] * weight[place], starts - starts[0]))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = mix(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     k = min(WORDS, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for place in range(k):
@@ -95,12 +116,8 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     """The set's least value under each of ``MINS`` hash functions (uint32)."""
     x = (hashes >> _U(32)).astype(np.uint32)
     out = np.full(MINS, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(x), 4096):
-        v = x[None, start : start + 4096] * _MINWISE[:, None]
-        v ^= v >> np.uint32(16)
-        v *= np.uint32(0x85EBCA6B)
-        v ^= v >> np.uint32(13)
-        np.minimum(out, v.min(axis=1), out=out)
+    for start in range(0, len(x), 1024):
+        np.minimum(out, (x[None, start : start + 1024] * _MINWISE[:, None]).min(axis=1), out=out)
     return out
 
 
@@ -199,6 +216,40 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, comp: np.ndarray,
     return picked
 
 
+def common_shingles(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``a`` and ``b``."""
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if len(a) < 4 * len(used):
+        pairs = zip(a.tolist(), b.tolist())
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs], np.int64)
+    # Many pairs of few sets: products of incidence matrices, some columns (shingles) at a time.
+    rows = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    columns = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)[1]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    total = np.zeros((len(used), len(used)), np.float64)
+    for start in range(0, int(columns[-1]) + 1, 4096):
+        low, high = np.searchsorted(columns, [start, start + 4096])
+        part = np.zeros((len(used), 4096), np.float32)
+        part[rows[low:high], columns[low:high] - start] = 1
+        total += part @ part.T
+    return total[at[: len(a)], at[len(a) :]].astype(np.int64)
+
+
+def _confirm_inside(similarity: tuple[int, int]):
+    """Links (u, v) between different components of each node, confirmed on the full sets its rows hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num, den = similarity
+        for path, _, cid, comp, n, sig, sets in _nodes(batches):
+            a, b, _ = possible_pairs(comp, n, sig, similarity)
+            common = common_shingles(sets, a, b)
+            good = common * den >= (n[a] + n[b] - common) * num
+            yield pa.RecordBatch.from_arrays([pa.array(cid[a[good]]), pa.array(cid[b[good]])], ["u", "v"])
+
+    return run
+
+
 NODE = "path bigint, block bigint, cid bigint, comp bigint, n bigint, sig binary"
 
 
@@ -209,6 +260,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         if not batch.num_rows:
             continue
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [signatures(batch.column(5))]
+        cols += [c.to_numpy(zero_copy_only=False) for c in batch.columns[6:]]
         if rest is not None:
             cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
         cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
@@ -262,7 +314,6 @@ class _Search:
         self.docs, self.similarity = docs, similarity
         self.work = Workspace(self.spark)
         self.k = 0
-        self.edges: DataFrame | None = None
         self.comp: DataFrame | None = None
         self.checked: DataFrame | None = None
         self.sets: DataFrame | None = None
@@ -313,6 +364,8 @@ class _Search:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
         wanted = self.keep(wanted, "wanted")
+        if wanted.isEmpty():
+            return
         # Any document of the class has its set: read the one with the least id again.
         reps = self.classes.join(wanted, "cid").select(F.col("rep").alias("wanted_id"))
         texts = self.docs.join(reps, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
@@ -336,10 +389,17 @@ class _Search:
         common = F.size(F.array_intersect("x", "y")).cast("long")
         num, den = self.similarity
         linked = common * den >= (F.size("x") + F.size("y") - common) * num
-        edges = self.keep(both.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}_edges")
-        self.edges = edges if self.edges is None else self.edges.unionByName(edges)
+        self.link(both.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+
+    def link(self, found: DataFrame, name: str) -> None:
+        """Bring the components up to date with confirmed links (u, v)."""
+        edges = self.keep(found, f"{name}_edges")
+        if edges.isEmpty():
+            return
+        # The stars so far stand for the links they came from.
+        links = edges if self.comp is None else self.comp.unionByName(edges)
         self.k += 1
-        self.comp = components(self.edges, self.work, f"{self.k}_{name}_stars")
+        self.comp = components(links, self.work, f"{self.k}_{name}_stars")
 
     def run(self) -> DataFrame:
         sketched = self.docs.select("id", F.arrow_udf(_sketches, SKETCH)("text").alias("s")).select("id", "s.*")
@@ -380,21 +440,44 @@ class _Search:
         if rest.isEmpty():
             return None
         if depth == DEPTH:
-            self.confirm(self.compare(self.block_pairs(nodes, rest), forest=False), "blocks")
+            self.finish(nodes, rest)
             return None
         inner = self.labelled(nodes).join(rest.select("path"), "path").join(self.classes.select("cid", "sig"), "cid")
         below = inner.select(F.explode(F.arrow_udf(_children, "array<bigint>")("path", "sig")).alias("path"), "cid")
         return self.keep(below, "nodes")
 
-    def block_pairs(self, nodes: DataFrame, large: DataFrame) -> DataFrame:
-        """Members of large nodes, once per pair of blocks of theirs, each pair of blocks a node."""
-        rows = self.labelled(nodes).join(large, "path").join(self.classes.select("cid", "n", "sig"), "cid")
-        count = F.ceil(F.col("size") / (SMALL // 2))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(-1), "cid"), count))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-        block = F.least("own", "other") * count + F.greatest("own", "other")
-        rows = rows.withColumn("block", block).select("path", "block", "cid", "comp", "n", "sig")
-        return rows.repartition("path", "block").sortWithinPartitions("path", "block")
+    def finish(self, nodes: DataFrame, large: DataFrame) -> None:
+        """Connect what is left of large nodes: members outside a node's largest component against all others.
+
+        Both sides are cut into blocks, a pair of blocks is a node, and full sets are
+        compared inside it.  Members of the largest component are not compared with
+        each other; the others are.
+        """
+        rows = self.labelled(nodes).join(large.select("path"), "path")
+        parts = rows.groupBy("path", "comp").agg(F.count("*").alias("c"))
+        parts = parts.groupBy("path").agg(
+            F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all")
+        )
+        half = SMALL // 2
+        inside, outside = F.ceil(F.col("most") / half), F.ceil((F.col("all") - F.col("most")) / half)
+        rows = rows.join(parts, "path").select(
+            "path", "cid", "comp", (F.col("comp") == F.col("main")).alias("in_main"), inside.alias("k"), outside.alias("m")
+        )
+        own = F.pmod(F.xxhash64(F.lit(-1), "cid"), F.when(F.col("in_main"), F.col("k")).otherwise(F.col("m")))
+        rows = rows.withColumn("own", own)
+        k, m, own = F.col("k"), F.col("m"), F.col("own")
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        with_outside = F.transform(upto(m), lambda j: j * k + own)
+        with_main = F.transform(upto(k), lambda j: own * k + j)
+        with_others = F.transform(upto(m), lambda j: m * k + F.least(own, j) * m + F.greatest(own, j))
+        blocks = F.when(F.col("in_main"), with_outside).otherwise(F.concat(with_main, with_others))
+        self.add_sets(rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")))
+        members = rows.select("path", F.explode(blocks).alias("block"), "cid", "comp")
+        members = members.join(self.classes.select("cid", "n", "sig"), "cid").join(self.sets, "cid")
+        members = members.select("path", "block", "cid", "comp", "n", "sig", "shingles")
+        sorted_rows = members.repartition("path", "block").sortWithinPartitions("path", "block")
+        links = sorted_rows.mapInArrow(_confirm_inside(self.similarity), "u bigint, v bigint")
+        self.link(links, "rest")
 
     def result(self) -> DataFrame:
         named = self.classes.select("cid", "rep")
