@@ -218,6 +218,8 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, comp: np.ndarray,
 
 def common_shingles(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets at ``a`` and ``b``."""
+    if not len(a):
+        return np.zeros(0, np.int64)
     used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     if len(a) < 4 * len(used):
         pairs = zip(a.tolist(), b.tolist())
