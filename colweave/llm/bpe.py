@@ -27,6 +27,7 @@ import base64
 import functools
 import heapq
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -38,8 +39,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import free_name
 
-#: Remembered pre-tokens per worker and generation; some 300 bytes each.
-CACHE_ENTRIES = 1 << 18
+#: Remembered pre-tokens per worker and generation; some 200 bytes each.
+CACHE_ENTRIES = 1 << 19
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
@@ -105,47 +106,58 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of every entry by each pair of entries it is made of, as ``left << 20 | right``."""
+    out = {}
+    for entry, rank in ranks.items():
+        for k in range(1, len(entry)):
+            left, right = ranks.get(entry[:k]), ranks.get(entry[k:])
+            if left is not None and right is not None:
+                out[(left << 20) | right] = rank
+    return out
+
+
+def merge_bytes(piece: bytes, of_byte: list[int], pairs: dict[int, int]) -> list[int]:
     """Ids of a pre-token: lowest rank first, leftmost among equals."""
-    n, get = len(piece), ranks.get
+    get, push, pop = pairs.get, heapq.heappush, heapq.heappop
+    ids = [of_byte[b] for b in piece]  # -1 for a part merged into the one before
+    n = len(ids)
     after = list(range(1, n + 1))  # start of the next part; the last part's is n
     before = list(range(-1, n - 1))
     #: Rank of each part with its next one; -1 for none, and for parts merged away.
-    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    pair = [get((a << 20) | b, -1) for a, b in zip(ids, ids[1:])]
     pair.append(-1)
     heap = [(r << 32) | i for i, r in enumerate(pair) if r >= 0]
     heapq.heapify(heap)
     while heap:
-        top = heapq.heappop(heap)
-        i = top & 0xFFFFFFFF
-        if pair[i] != top >> 32:
+        top = pop(heap)
+        i, rank = top & 0xFFFFFFFF, top >> 32
+        if pair[i] != rank:
             continue  # a part of this pair has been merged meanwhile
         mid = after[i]
         end = after[i] = after[mid]
-        pair[mid] = -1
+        ids[i], ids[mid], pair[mid] = rank, -1, -1
         if end < n:
             before[end] = i
-            rank = pair[i] = get(piece[i : after[end]], -1)
-            if rank >= 0:
-                heapq.heappush(heap, (rank << 32) | i)
+            r = pair[i] = get((rank << 20) | ids[end], -1)
+            if r >= 0:
+                push(heap, (r << 32) | i)
         else:
             pair[i] = -1
         left = before[i]
         if left >= 0:
-            rank = pair[left] = get(piece[left:end], -1)
-            if rank >= 0:
-                heapq.heappush(heap, (rank << 32) | left)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+            r = pair[left] = get((ids[left] << 20) | rank, -1)
+            if r >= 0:
+                push(heap, (r << 32) | left)
+    return [i for i in ids if i >= 0]
 
 
 class Vocabulary:
     """Ranks, the perfect hash and the entry in each of its slots; what is broadcast."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if max(ranks.values()) >= 1 << 20:
+            raise ValueError("ranks of 2^20 and more are not packed")
         self.ranks, self.pattern = ranks, pattern
         self.whole = PerfectHash(list(ranks))
         self.slots: list[tuple[bytes, int]] = [(b"", 0)] * len(ranks)
@@ -154,15 +166,22 @@ class Vocabulary:
 
 
 class Encoder:
+    """Encodes texts; ids are remembered and joined as packed 32-bit integers."""
+
     def __init__(self, vocabulary: Vocabulary, cache_entries: int = CACHE_ENTRIES):
-        self.ranks, self.whole, self.slots = vocabulary.ranks, vocabulary.whole, vocabulary.slots
+        self.whole, self.slots = vocabulary.whole, vocabulary.slots
+        self.of_byte = [vocabulary.ranks[bytes([b])] for b in range(256)]
+        self.pairs = merge_pairs(vocabulary.ranks)
         # The merge library's \s is Unicode White_Space.
         own = vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(own)
         self.known = vocabulary.pattern == KNOWN_PATTERN
         self.limit = cache_entries
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        #: Packed ids of pieces behind a space (without it), and of other pre-tokens; the ``old`` ones fall out next.
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.old_spaced: dict[str, bytes] = {}
+        self.old_bare: dict[str, bytes] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.known and (simple := _SIMPLE.fullmatch(text)):
@@ -172,36 +191,53 @@ class Encoder:
     def pre_token(self, text: str) -> list[int]:
         piece = text.encode()
         key, rank = self.slots[self.whole.slot(piece)]
-        return [rank] if key == piece else merge_bytes(piece, self.ranks)
-
-    def remembered(self, text: str) -> list[int]:
-        """Ids of one pre-token, by way of the cache."""
-        ids = self.young.get(text)
-        if ids is not None:
-            return ids
-        ids = self.old.get(text)
+        return [rank] if key == piece else merge_bytes(piece, self.of_byte, self.pairs)
+
+    def pack(self, pre_token: str) -> bytes:
+        ids = self.pre_token(pre_token)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def after_space(self, piece: str) -> bytes:
+        """Ids of a space and a piece of text behind it."""
+        ids = self.spaced.get(piece) or self.old_spaced.get(piece)
         if ids is None:
-            ids = self.pre_token(text)
-        if len(text) <= 64:
-            if len(self.young) >= self.limit:
-                self.young, self.old = {}, self.young
-            self.young[text] = ids
+            first, *more = self.pre_tokens(" " + piece)
+            if more:
+                head = self.after_space(first[1:]) if len(first) > 1 else self.pack(first)
+                ids = head + b"".join(map(self.without_space, more))
+            else:
+                ids = self.pack(first)
+        if len(piece) <= 64:
+            if len(self.spaced) >= self.limit:
+                self.spaced, self.old_spaced = {}, self.spaced
+            self.spaced[piece] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def without_space(self, pre_token: str) -> bytes:
+        ids = self.bare.get(pre_token) or self.old_bare.get(pre_token)
+        if ids is None:
+            ids = self.pack(pre_token)
+        if len(pre_token) <= 64:
+            if len(self.bare) >= self.limit // 8:
+                self.bare, self.old_bare = {}, self.bare
+            self.bare[pre_token] = ids
+        return ids
+
+    def packed(self, text: str | None) -> bytes:
         if not text:
-            return []
-        out: list[int] = []
-        young = self.young.get  # only whole pre-tokens are remembered, and a piece equal to one is one
-        for piece in cut(text) if self.known else [text]:
-            ids = young(piece)
-            if ids is not None:
-                out += ids
-                continue
-            for t in self.pre_tokens(piece):
-                out += self.remembered(t)
-            young = self.young.get
-        return out
+            return b""
+        if not self.known:
+            return b"".join(map(self.without_space, self.pattern.findall(text)))
+        first, spaced = cut(text)
+        out = list(map(self.spaced.get, spaced))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = self.after_space(spaced[i])
+        return b"".join([*map(self.without_space, self.pre_tokens(first)), *out])
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
 
 # Fixed value: the pattern for which the two short cuts below hold.
@@ -213,16 +249,16 @@ _EDGE = re.compile(r"\s | \s")
 _CUT = regex.compile(r"(?<=\P{White_Space})(?=\x20\P{White_Space})")
 
 
-def cut(text: str) -> list[str]:
-    """Pieces of a text, cut before every single space that stands between two other characters.
+def cut(text: str) -> tuple[str, list[str]]:
+    """A text cut at every single space between two other characters: what stands before the first, and behind each.
 
     Such a space always starts a pre-token, and no pre-token looks further back.
     """
     if text[0] != " " and text[-1] != " " and not _EDGE.search(text):
         first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
+        return first, rest
     ends = [m.start() for m in _CUT.finditer(text)]
-    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+    return text[: ends[0]] if ends else text, [text[a + 1 : b] for a, b in zip(ends, [*ends[1:], len(text)])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -231,8 +267,12 @@ def _encoder(token: str, shared) -> Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def _bytes_by_id(token: str, shared) -> dict[int, bytes]:
-    return {i: b for b, i in shared.value.ranks.items()}
+def _bytes_by_id(token: str, shared) -> list[bytes | None]:
+    ranks = shared.value.ranks
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for entry, rank in ranks.items():
+        out[rank] = entry
+    return out
 
 
 class Tokenizer:
@@ -250,11 +290,9 @@ class Tokenizer:
         def ids(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(token, shared)
             for texts in it:
-                values, ends = [], [0]
-                for t in texts:
-                    values.append(np.array(encoder.encode(t.as_py()), np.int32))
-                    ends.append(ends[-1] + len(values[-1]))
-                flat = np.concatenate(values) if values else np.zeros(0, np.int32)
+                packed = [encoder.packed(t.as_py()) for t in texts]
+                ends = np.cumsum([0, *map(len, packed)]) // 4
+                flat = np.frombuffer(b"".join(packed), "<i4")
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
         name = free_name(df, result)
@@ -268,7 +306,8 @@ class Tokenizer:
         def decoded(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
             by_id = _bytes_by_id(token, shared)
             for lists in it:
-                out = [b"".join([by_id[i] for i in x.values.tolist()]) if x.is_valid else b"" for x in lists]
+                take = by_id.__getitem__
+                out = [b"".join(map(take, x.values.to_pylist())) if x.is_valid else b"" for x in lists]
                 yield pa.array(out, pa.binary())
 
         name = free_name(df, result)

@@ -32,9 +32,9 @@ from .quality_rules import base_counts
 BITS = 9
 POSITIVES = 5000
 UNLABELLED = 5000
-STEPS = 250
+STEPS = 120
 RATE = 0.05
-DECAY = 1e-4
+DECAY = 1e-2
 THRESHOLD = 0.7
 N_COUNTS = 9
 

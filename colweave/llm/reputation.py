@@ -84,11 +84,12 @@ def last_labels(host: Column, n: int) -> Column:
 def strength(groups: DataFrame) -> Column:
     """Method of moments over the groups with outcomes: the beta prior's strength a + b, an aggregate."""
     n, bad, k = F.sum("n"), F.sum("bad"), F.count_if(F.col("n") > 0)
-    rate = bad / n
-    spread = F.sum(F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n"))) / n - rate * rate
-    extra = spread - rate * (1 - rate) * k / n  # beyond what binomial draws alone would spread
+    rate = F.try_divide(bad, n)
+    squares = F.sum(F.try_divide(F.col("bad") * F.col("bad"), F.col("n")))
+    spread = F.try_divide(squares, n) - rate * rate
+    extra = spread - F.try_divide(rate * (1 - rate) * k, n)  # beyond what binomial draws alone would spread
     least, most = F.lit(STRENGTH[0]), F.lit(STRENGTH[1])
-    moments = F.greatest(least, F.least(most, (rate * (1 - rate) - extra) / extra))
+    moments = F.greatest(least, F.least(most, F.try_divide(rate * (1 - rate) - extra, extra)))
     return F.when(extra > 0, moments).otherwise(most)
 
 
