@@ -64,9 +64,10 @@ SKETCH = "struct<n: bigint, cid: bigint, sig: binary, roots: array<bigint>>"
 FULL_SET = "struct<cid: bigint, shingles: array<bigint>>"
 _SKETCH = pa.struct([("n", pa.int64()), ("cid", pa.int64()), ("sig", pa.binary()), ("roots", pa.list_(pa.int64()))])
 _U = np.uint64
-_SEEDS = np.frombuffer(hashlib.shake_128(b"near-duplicates").digest(8 * (MINS + WORDS + TREES + 257)), np.uint64) | _U(1)
+_SEEDS = np.frombuffer(hashlib.shake_128(b"near-duplicates").digest(8 * (2 * MINS + WORDS + TREES + 257)), np.uint64) | _U(1)
 _MINWISE = (_SEEDS[:MINS] >> _U(32)).astype(np.uint32) | np.uint32(1)
-_PLACES, _TREE = _SEEDS[MINS : MINS + WORDS], _SEEDS[MINS + WORDS : MINS + WORDS + TREES]
+_OFFSETS = (_SEEDS[MINS : 2 * MINS] >> _U(32)).astype(np.uint32)
+_PLACES, _TREE = _SEEDS[2 * MINS : 2 * MINS + WORDS], _SEEDS[2 * MINS + WORDS : 2 * MINS + WORDS + TREES]
 _WEIGHTS = np.cumprod(np.full(1024, _SEEDS[-1]))
 #: A number per byte: 0 for separators, the same for both cases of an ASCII letter.
 _BYTES = np.array([0 if c in b" \t\n\r\x0b\f" else _SEEDS[-257 + (c + 32 if 65 <= c <= 90 else c)] for c in range(256)], np.uint64)
@@ -117,7 +118,9 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     x = (hashes >> _U(32)).astype(np.uint32)
     out = np.full(MINS, 0xFFFFFFFF, np.uint32)
     for start in range(0, len(x), 1024):
-        np.minimum(out, (x[None, start : start + 1024] * _MINWISE[:, None]).min(axis=1), out=out)
+        values = x[None, start : start + 1024] * _MINWISE[:, None]
+        values += _OFFSETS[:, None]
+        np.minimum(out, values.min(axis=1), out=out)
     return out
 
 
