@@ -406,7 +406,7 @@ def match(spark: SparkSession, sf: str, profile: str):
     return match_columns(V.src(spark, sf), V.dash(spark, sf), "c_custkey", profile=profile)
 
 
-def audit(spark: SparkSession, sf: str, profile: str, pairs, rows: int | None) -> DataFrame:
+def audit(spark: SparkSession, sf: str, profile: str, pairs, rows: int | None = None) -> DataFrame:
     return rounded(
         audit_cells(V.src(spark, sf), V.dash(spark, sf), "c_custkey", pairs=pairs, profile=profile, max_rows=rows)
     )
@@ -417,10 +417,10 @@ for _name in PROFILES:
         f"map_{_name}", lambda spark, sf, p=_name: rounded(match(spark, sf, p).mapping), O.mapping(_name)
     )
     register(
-        f"score_{_name}", lambda spark, sf, p=_name: audit(spark, sf, p, EVERY_PAIR, None), O.cell_scores(_name)
+        f"score_{_name}", lambda spark, sf, p=_name: audit(spark, sf, p, EVERY_PAIR), O.cell_scores(_name)
     )
     register(
-        f"audit_{_name}", lambda spark, sf, p=_name: audit(spark, sf, p, CHOSEN, 1000), O.audit(_name, CHOSEN, 1000)
+        f"audit_{_name}", lambda spark, sf, p=_name: audit(spark, sf, p, CHOSEN), O.audit(_name, CHOSEN)
     )
     if PROFILES[_name].statistics == "weighted":
         register(
@@ -513,12 +513,16 @@ register(
 
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     cells = audit_cells(
-        V.src(spark, sf), V.dash(spark, sf), "c_custkey", pairs=EVERY_PAIR, profile="tagged", max_rows=None
+        V.src(spark, sf), V.dash(spark, sf), "c_custkey", pairs=EVERY_PAIR, profile="tagged"
     )
     return D.threshold_sweep(cells)
 
 
-GRID_SQL = ", ".join(f"('{t}', {v}::double)" for t, vs in D.default_sweep_grid().items() for v in vs)
+GRID_SQL = """
+  ('direct', 0.65::double), ('direct', 0.675::double), ('direct', 0.7::double), ('direct', 0.725::double), ('direct', 0.75::double),
+  ('list', 0.65::double), ('list', 0.675::double), ('list', 0.7::double), ('list', 0.725::double), ('list', 0.75::double),
+  ('listlike', 0.65::double), ('listlike', 0.675::double), ('listlike', 0.7::double), ('listlike', 0.725::double), ('listlike', 0.75::double),
+  ('similarity', 0.3::double), ('similarity', 0.325::double), ('similarity', 0.35::double), ('similarity', 0.375::double), ('similarity', 0.4::double), ('similarity', 0.425::double), ('similarity', 0.45::double), ('similarity', 0.475::double), ('similarity', 0.5::double), ('similarity', 0.525::double), ('similarity', 0.55::double), ('similarity', 0.575::double), ('similarity', 0.6::double)"""
 register(
     "threshold_sweep",
     sweep,

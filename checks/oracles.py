@@ -548,13 +548,14 @@ def cell_scores(profile: str) -> str:
     )
 
 
-def audit(profile: str, chosen: list[tuple[str, str]], rows: int) -> str:
+def audit(profile: str, chosen: list[tuple[str, str]], rows: int | None = None) -> str:
     listed = ", ".join(f"({i}, '{d}', '{s}')" for i, (d, s) in enumerate(chosen))
     where = f" where {hit(profile)}" if profile == "fastpath" else ""
+    bound = "" if rows is None else f"\nqualify row_number() over (partition by pair order by key) <= {rows}"
     return with_(
         scored(profile),
         f"""select id as {id_name(profile)}, dashboard_col, source_col, dv as dashboard_val, sv as source_val,
   {', '.join(score_columns(profile))}
 from scored join (values {listed}) as chosen(pair, dashboard_col, source_col) using (dashboard_col, source_col){where}
-order by pair, key limit {rows}""",
+{bound}""",
     )

@@ -40,22 +40,21 @@ def tag_summary(candidates: DataFrame, tag_thresholds: Mapping[str, float] = TAG
     return rows
 
 
-def _steps(low: float, high: float, step: float = 0.025) -> list[float]:
-    out, x = [], low
-    while x <= high + 1e-9:
-        out.append(round(x, 3))
-        x += step
-    return out
+# Fixed values, in thousandths: how far to sweep around a tag's threshold, the least and the
+# greatest threshold to try, the threshold of a tag without one, and the distance of two points.
+SWEEP_REACH = {"similarity": (150, 300, 950, 600)}
+SWEEP_REACH_ELSE = (50, 500, 990, 700)
+SWEEP_STEP = 25
 
 
-def default_sweep_grid(base: Mapping[str, float] = TAG_THRESHOLDS) -> dict[str, list[float]]:
-    """Thresholds to try around the current ones: narrow for the fast paths, wide for similarity."""
+def sweep_grid(base: Mapping[str, float] = TAG_THRESHOLDS) -> dict[str, list[float]]:
+    """Thresholds to try per tag: narrow around those of the fast paths, wide around that of similarity."""
     grid = {}
-    for tag in TAGS[:-1]:
-        at = base.get(tag, 0.70)
-        grid[tag] = _steps(max(0.5, at - 0.05), min(0.99, at + 0.05))
-    at = base.get("similarity", 0.60)
-    grid["similarity"] = _steps(max(0.3, at - 0.15), min(0.95, at + 0.15))
+    for tag in TAGS:
+        reach, least, most, usual = SWEEP_REACH.get(tag, SWEEP_REACH_ELSE)
+        middle = round(1000 * base[tag]) if tag in base else usual
+        points = range(max(least, middle - reach), min(most, middle + reach) + 1, SWEEP_STEP)
+        grid[tag] = [p / 1000 for p in points]
     return grid
 
 
@@ -72,7 +71,7 @@ def threshold_sweep(
     missing = {"score", "tag"} - set(audit.columns)
     if missing:
         raise ValueError(f"the audit has no column {', '.join(sorted(missing))}")
-    grid = default_sweep_grid(base) if grid is None else grid
+    grid = sweep_grid(base) if grid is None else grid
     points = [(tag, float(t)) for tag, thresholds in grid.items() for t in thresholds]
     score, tag_col = F.col("score").cast("double"), F.col("tag")
     counts = []

@@ -26,26 +26,33 @@ def run_matching_job(
     source_sheet: str | None = None,
     dash_sheet: str | None = None,
     audit: bool = False,
-    audit_rows: int = 1000,
+    audit_rows: int | None = None,
     preview_metrics: bool = False,
     sample_rows: int | None = None,
     fmt: str = "csv",
+    multiline: bool = True,
+    source_order: Sequence[str] = (),
+    dash_order: Sequence[str] = (),
     **changes,
 ) -> dict[str, str]:
     """Read two tables, match their columns and write the results; returns their paths by name.
 
-    Rows of a repeated id are merged in file order.  The audit covers the chosen
-    pairs; the preview is the audit of the best pair alone.
+    Rows of a repeated id are merged by the given order columns, in CSV by default
+    in file order.  The audit covers all chosen pairs; ``audit_rows`` bounds each
+    pair's rows.  The preview is the start of the audit of the best pair.  With
+    ``multiline=False`` Spark splits large CSV files, whose cells then hold no line
+    breaks.
     """
     p = get_profile(profile)
     trim = p.scorer != "containment"  # that profile takes headers as written
 
-    def load(path, sheet):
-        df = readers.read_table(spark, path, sheet, row_order=p.merge_duplicates, trim=trim)
-        return df, [readers.ROW_ORDER] if readers.ROW_ORDER in df.columns else []
+    def load(path, sheet, order):
+        by_file = p.merge_duplicates and not order
+        df = readers.read_table(spark, path, sheet, row_order=by_file, trim=trim, multiline=multiline)
+        return df, [readers.ROW_ORDER] if readers.ROW_ORDER in df.columns else order
 
-    source, source_order = load(source_path, source_sheet)
-    dash, dash_order = load(dashboard_path, dash_sheet)
+    source, source_order = load(source_path, source_sheet, source_order)
+    dash, dash_order = load(dashboard_path, dash_sheet, dash_order)
     sides = dict(source_order=source_order, dash_order=dash_order, **changes)
     found = match_columns(
         source, dash, id_source, id_dash, p, sample_rows=sample_rows, **sides
@@ -58,7 +65,7 @@ def run_matching_job(
     pairs = mapped_pairs(found.mapping)
     sides.pop("one_to_one", None)
 
-    def write_audit(name: str, chosen: Sequence[tuple[str, str]], rows: int) -> None:
+    def write_audit(name: str, chosen: Sequence[tuple[str, str]], rows: int | None) -> None:
         cells = audit_cells(source, dash, id_source, id_dash, chosen, p, max_rows=rows, **sides)
         written[name] = results.write_result(cells, out_dir, name, fmt)
 

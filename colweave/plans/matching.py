@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import align as A, candidates as N, rank as R, scoring as S, tfidf
 from .profiles import Profile, get_profile
@@ -159,7 +159,7 @@ def match_columns(
         else:
             statistics = N.hit_statistics(p, scored)
     # At most one row per column pair; once it is written the large tables can go.
-    statistics = ws.table(statistics.coalesce(1), "statistics")
+    statistics = ws.table(statistics, "statistics")
     ws.drop("pairs", "vocabulary", "elements")
     if statistics.isEmpty() and sides.dash_cols and sides.source_cols:
         if not A.has_common_ids(sides.source, sides.dash):
@@ -199,6 +199,11 @@ def _audit_schema(profile: Profile) -> str:
     return ", ".join(f"{c} {'string' if c in text else 'double'}" for c in audit_columns(profile))
 
 
+def _first_of_each_pair(rows: DataFrame, n: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("pair").orderBy(F.asc_nulls_last("key")))
+    return rows.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
 def mapped_pairs(mapping: DataFrame) -> list[tuple[str, str]]:
     """The chosen column names, in mapping order: at most one per dashboard column."""
     return [(r[0], r[1]) for r in mapping.select("dashboard_col", "source_col").toLocalIterator()]
@@ -212,7 +217,7 @@ def audit_cells(
     pairs: Sequence[tuple[str, str]] = (),
     profile: str | Profile = "tagged",
     *,
-    max_rows: int | None = 1000,
+    max_rows: int | None = None,
     source_cols: Sequence[str] | None = None,
     dash_cols: Sequence[str] | None = None,
     source_order: Sequence[str] = (),
@@ -222,8 +227,8 @@ def audit_cells(
 ) -> DataFrame:
     """Cell-by-cell scores of the given (dashboard, source) column pairs.
 
-    The first ``max_rows`` rows by pair, then id (all when ``None``).  Unless only
-    hits are kept, rows are cut before scoring: the cut does not depend on scores.
+    All of them, or the first ``max_rows`` rows of each pair by id.  Unless only hits
+    are kept, rows are cut before scoring: the cut does not depend on scores.
     The gram weights are fitted on the same cells as the mapping's.
     """
     p = get_profile(profile, **changes)
@@ -261,9 +266,8 @@ def audit_cells(
         .select("id", "key", F.col("p.ord").alias("pair"), "p.d_raw", "p.s_raw")
     )
     order = [F.asc("pair"), F.asc_nulls_last("key")]
-    cut_first = max_rows is not None and not p.audit_hits_only
-    if cut_first:
-        rows = rows.orderBy(*order).limit(max_rows)
+    if max_rows is not None and not p.audit_hits_only:
+        rows = _first_of_each_pair(rows, max_rows)
     rows = rows.select(
         "*",
         F.array(F.struct(F.col("pair").alias("ord"), F.col("d_raw").alias("raw"))).alias("d_cells"),
@@ -299,9 +303,9 @@ def audit_cells(
             "dashboard_val": F.col("d_raw"),
             "source_val": F.col("s_raw"),
         }
-    ).orderBy(*order)
-    if max_rows is not None:
-        out = out.limit(max_rows)
+    )
+    if max_rows is not None and p.audit_hits_only:
+        out = _first_of_each_pair(out, max_rows)
     out = ws.table(out.select("pair", "key", *audit_columns(p)), "audit")
     ws.drop("rows", "vocabulary", "elements")
     return out.orderBy(*order).select(*audit_columns(p))

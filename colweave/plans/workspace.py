@@ -53,12 +53,19 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+#: What the optimizer says of a leaf whose size it does not know is at least this.
+UNKNOWN_BYTES = 1 << 60
+
+
 def task_count(*frames: DataFrame) -> int:
     """Partitions for CPU-bound stages, whose cost AQE cannot see in their bytes.
 
-    By input size, at least one per core and at most ``spark.sql.shuffle.partitions``.
+    By input size and at least one per core; ``spark.sql.shuffle.partitions`` for inputs of unknown size.
     """
     spark = frames[0].sparkSession
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    wanted = sum(map(input_bytes, frames)) // TASK_BYTES + 1
-    return min(most, max(wanted, spark.sparkContext.defaultParallelism))
+    size = sum(map(input_bytes, frames))
+    if size >= UNKNOWN_BYTES:
+        wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        wanted = size // TASK_BYTES + 1
+    return max(wanted, spark.sparkContext.defaultParallelism)

@@ -198,7 +198,13 @@ def read_workbook(
 
 
 def read_table(
-    spark: SparkSession, path: str, sheet: str | None = None, *, row_order: bool = False, trim: bool = True
+    spark: SparkSession,
+    path: str,
+    sheet: str | None = None,
+    *,
+    row_order: bool = False,
+    trim: bool = True,
+    multiline: bool = True,
 ) -> DataFrame:
     """A workbook by its suffix, parquet by its suffix, anything else as CSV."""
     lower = path.lower()
@@ -209,5 +215,5 @@ def read_table(
     if lower.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
         return trim_headers(df) if trim else df
-    return read_csv(spark, path, row_order=row_order, trim=trim)
+    return read_csv(spark, path, row_order=row_order, trim=trim, multiline=multiline)
 

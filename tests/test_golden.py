@@ -45,10 +45,10 @@ def test_sample_run(sample):
 
 
 def test_sweep_grid():
-    grid = D.default_sweep_grid()
+    grid = D.sweep_grid()
     assert [len(grid[t]) for t in ("direct", "list", "listlike", "similarity")] == [5, 5, 5, 13]
     assert grid["similarity"][0] == 0.3 and grid["similarity"][-1] == 0.6
-    wide = D.default_sweep_grid({})
+    wide = D.sweep_grid({})
     assert wide["similarity"][0] == 0.45 and wide["similarity"][-1] == 0.75
 
 
