@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import free_name
 
 #: Remembered pre-tokens per worker and generation; some 200 bytes each.
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 3 << 17
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
