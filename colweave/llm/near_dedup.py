@@ -59,6 +59,8 @@ SMALL = 200
 DEPTH = 2
 #: Standard deviations that a signature's agreement may lie below the wanted similarity.
 SLACK = 4.5
+#: Size of the bitmaps that spare documents a shuffle.
+FILTER_BITS = 1 << 25
 
 SKETCH = "struct<n: bigint, cid: bigint, sig: binary, roots: array<bigint>>"
 FULL_SET = "struct<cid: bigint, shingles: array<bigint>>"
@@ -184,6 +186,31 @@ def _agreement(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array((signatures(a) == signatures(b)).sum(1).astype(np.int32))
 
 
+def id_filter(ids: DataFrame):
+    """A test of id columns that holds for every id of ``ids`` and for few others.
+
+    A bitmap of ``FILTER_BITS`` hashed ids, whatever their number: driver and
+    executors hold that many bits.  The more ids there are, the more others pass, so
+    an exact join must follow.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    placed = ids.select(place(F.col("id")).alias("p"))
+    part = placed.groupBy(F.shiftright("p", 15).alias("k")).agg(
+        F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767).cast("long"))).alias("bits")
+    )
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in part.toLocalIterator():
+        bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def test(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for places in it:
+            at = places.to_numpy(zero_copy_only=False)
+            yield pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda column: F.arrow_udf(test, "boolean")(place(column))
+
+
 def least_agreement(similarity: tuple[int, int]) -> int:
     """Signature bytes that a pair of the wanted similarity shares but for ``SLACK`` deviations."""
     j = similarity[0] / similarity[1]
@@ -372,8 +399,8 @@ class _Search:
         if wanted.isEmpty():
             return
         # Any document of the class has its set: read the one with the least id again.
-        reps = self.classes.join(wanted, "cid").select(F.col("rep").alias("wanted_id"))
-        texts = self.docs.join(reps, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        may_hold = id_filter(self.classes.join(wanted, "cid").select(F.col("rep").alias("id")))
+        texts = self.docs.where(may_hold(F.col("id")))
         found = texts.select(F.arrow_udf(_full_sets, FULL_SET)("text").alias("s")).select("s.cid", "s.shingles")
         found = self.keep(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
@@ -511,8 +538,11 @@ def near_duplicates(
 def keep_representatives(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
-    """The documents without those whose component has a smaller id; rows that repeat the least id all stay."""
+    """The documents without those whose component has a smaller id; rows that repeat the least id, and rows without an id, all stay."""
     found = near_duplicates(docs, id_col, text_col, similarity=similarity)
     name = free_name(docs, "dropped_id")
-    dropped = found.where("not kept").select(F.col(id_col).alias(name)).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col(name), "left_anti").select(*docs.columns)
+    dropped = Workspace(docs.sparkSession).table(found.where("not kept").select(F.col(id_col).alias(name)).distinct(), "dropped")
+    # Only documents that may be among the dropped ones are moved to find out.
+    may_hold = id_filter(dropped.select(F.col(name).alias("id")))(F.col(id_col))
+    unsure = docs.where(may_hold).join(dropped, F.col(id_col) == F.col(name), "left_anti")
+    return docs.where(~may_hold).unionByName(unsure.select(*docs.columns))
