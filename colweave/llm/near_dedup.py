@@ -405,6 +405,10 @@ class _Search:
         found = self.keep(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
 
+    def sets_of(self, rows: DataFrame, column: str) -> DataFrame:
+        """Full sets of the classes in a column, and of few others, for a join: the rest isn't moved."""
+        return self.sets.where(id_filter(rows.select(F.col(column).alias("id")))(F.col("cid")))
+
     def confirm(self, pairs: DataFrame, name: str) -> None:
         """Check candidate pairs (a, b) on full sets, and bring the components up to date."""
         pairs = pairs.select("a", "b").distinct()
@@ -415,8 +419,8 @@ class _Search:
             return
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
         self.add_sets(pairs)
-        left = self.sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-        right = self.sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+        left = self.sets_of(pairs, "a").select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
+        right = self.sets_of(pairs, "b").select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(left, "a").join(right, "b")
         common = F.size(F.array_intersect("x", "y")).cast("long")
         num, den = self.similarity
@@ -504,9 +508,9 @@ class _Search:
         with_others = F.transform(upto(m), lambda j: m * k + F.least(own, j) * m + F.greatest(own, j))
         blocks = F.when(F.col("in_main"), with_outside).otherwise(F.concat(with_main, with_others))
         self.add_sets(rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")))
-        members = rows.select("path", F.explode(blocks).alias("block"), "cid", "comp")
-        members = members.join(self.classes.select("cid", "n", "sig"), "cid").join(self.sets, "cid")
-        members = members.select("path", "block", "cid", "comp", "n", "sig", "shingles")
+        members = rows.select("path", blocks.alias("blocks"), "cid", "comp")
+        members = members.join(self.classes.select("cid", "n", "sig"), "cid").join(self.sets_of(rows, "cid"), "cid")
+        members = members.select("path", F.explode("blocks").alias("block"), "cid", "comp", "n", "sig", "shingles")
         sorted_rows = members.repartition("path", "block").sortWithinPartitions("path", "block")
         links = sorted_rows.mapInArrow(_confirm_inside(self.similarity), "u bigint, v bigint")
         self.link(links, "rest")
