@@ -99,7 +99,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     spans = np.diff(np.append(starts, len(raw)))
     place = np.arange(starts[0], len(raw)) - np.repeat(starts, spans)
     longest = int(spans.max())
-    weight = _WEIGHTS if longest <= len(_WEIGHTS) else np.cumprod(np.full(longest, _WEIGHTS[1]))
+    weight = _WEIGHTS if longest <= len(_WEIGHTS) else np.cumprod(np.full(longest, _WEIGHTS[0]))
     return mix(np.add.reduceat(value[starts[0] :] * weight[place], starts - starts[0]))
 
 

@@ -107,6 +107,14 @@ def test_hashes_and_signatures():
     assert abs(same - 0.8) < 0.15
 
 
+def test_one_long_word_leaves_the_other_hashes_alone(spark):
+    words = [f"v{i}" for i in range(300)]
+    plain, longer = " ".join(words), " ".join([*words, "b" * 2000])
+    assert len(np.intersect1d(N.shingles(plain), N.shingles(longer))) == len(plain_set(plain) & plain_set(longer)) == 296
+    out = N.near_duplicates(spark.createDataFrame([(1, plain), (2, longer)], "doc_id long, text string")).collect()
+    assert {r.component_id for r in out} == {1}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(0, i) for i in range(500, 700)]
