@@ -8,11 +8,11 @@ added to every bucket; a document below ``THRESHOLD`` nats an n-gram is rejected
 Threshold and hash are fixed, so the verdict on a text depends on the two counted
 distributions alone.
 
-Scale: one pass counts, one pass scores; documents are not shuffled.  A task
-emits at most one row per bucket, so the shuffle grows with the tasks, not with
-the n-grams.  The raw counts cover all documents.  The target is counted over at
-most ``TRUSTED_ROWS`` labelled documents (those of lowest id hash), so the id set
-that is broadcast has that bound.  The model has a fixed size.
+Scale: one pass counts, one pass scores.  A task emits at most one row per bucket,
+so that shuffle grows with the tasks, not with the n-grams.  Both counts cover all
+their documents.  Documents that a bitmap of the trusted ids leaves open (the
+trusted ones and few others) are joined with the ids and move their text once; the
+rest is counted where it is read.  The model has a fixed size.
 
 Edge cases: a null or empty text has no words and fails the base; a text of fewer
 than three bytes has score 0; without any trusted document every score is 0; a
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import free_name, plain_words
+from .near_dedup import id_filter
 
 BITS = 15
 SMOOTHING = 1.0
 THRESHOLD = -0.5
-TRUSTED_ROWS = 20_000
 MIN_WORDS = 50
 _SYMBOLS = b"#*$%&|<>"  # fixed value
 
@@ -86,18 +86,23 @@ def base_counts(text: str | None) -> dict:
     }
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` ids of documents labelled as good."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of documents labelled as good."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
+    return good.select("doc_id")
 
 
 def count_grams(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per bucket: its n-grams in all documents (``raw``) and in trusted ones (``target``)."""
-    trusted = F.broadcast(trusted_ids(labels).select(F.col("doc_id").alias("trusted_id")))
-    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        trusted, F.col("id") == F.col("trusted_id"), "left"
-    )
+    trusted = trusted_ids(labels)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    maybe = F.col("id").isNotNull()
+    if rows.schema["id"].dataType == trusted.schema["doc_id"].dataType:  # else equal ids may hash apart
+        maybe = maybe & id_filter(trusted.select(F.col("doc_id").alias("id")))(F.col("id"))
+    rows = rows.withColumn("maybe", maybe)
+    unsure = rows.where("maybe").join(trusted.withColumnRenamed("doc_id", "trusted_id"), F.col("id") == F.col("trusted_id"), "left")
+    flagged = unsure.select("text", F.col("trusted_id").isNotNull().alias("good"))
+    flagged = flagged.unionByName(rows.where("not maybe").select("text", F.lit(False).alias("good")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
@@ -113,8 +118,7 @@ def count_grams(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
             [pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"]
         )
 
-    rows = flagged.select("text", F.col("trusted_id").isNotNull().alias("good"))
-    counted = rows.mapInArrow(count, "bucket int, raw bigint, target bigint")
+    counted = flagged.mapInArrow(count, "bucket int, raw bigint, target bigint")
     return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

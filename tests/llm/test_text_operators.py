@@ -139,6 +139,15 @@ def test_quality_base_and_ratio(spark, docs):
     assert not Q.fit(docs, labels.limit(0)).any()
 
 
+def test_quality_target_counts_every_trusted_document(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "abcd"), (7, "abcd")], "doc_id long, text string"))
+    labels = spark.range(60_000).select((F.col("id") * 2).alias("doc_id"), F.lit(1).alias("quality"))
+    for wide in (docs, docs.withColumn("doc_id", F.col("doc_id").cast("int"))):
+        found = Q.count_grams(wide, labels).collect()
+        assert [(r["raw"], r["target"]) for r in found] == [(40_002, 20_000)] * 2
+
+
 def plain_entropy(s, window):
     best = 0.0
     for i in range(len(s) - window + 1):
