@@ -138,9 +138,8 @@ def sketch(text: str | None) -> dict:
     if not len(found):
         return {"n": 0, "cid": None, "sig": None, "roots": []}
     mins = minwise(found)
-    cid = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
     sig = ((mins * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-    return {"n": len(found), "cid": cid, "sig": sig.tobytes(), "roots": roots(mins).astype(np.int64).tolist()}
+    return {"n": len(found), "cid": set_id(found), "sig": sig.tobytes(), "roots": roots(mins).astype(np.int64).tolist()}
 
 
 def _sketches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -148,13 +147,22 @@ def _sketches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([sketch(t.as_py()) for t in texts], _SKETCH)
 
 
+def set_id(found: np.ndarray) -> int | None:
+    """The id of the class of a set of shingles; none for an empty one."""
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else None
+
+
+def _set_ids(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in it:
+        yield pa.array([set_id(shingles(t.as_py())) for t in texts], pa.int64())
+
+
 def _full_sets(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
         ids, values, ends = [], [np.zeros(0, np.int64)], [0]
         for t in texts:
             found = shingles(t.as_py())
-            digest = hashlib.blake2b(found.tobytes(), digest_size=8).digest()
-            ids.append(int.from_bytes(digest, "little", signed=True) if len(found) else None)
+            ids.append(set_id(found))
             values.append(found.view(np.int64))
             ends.append(ends[-1] + len(found))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
@@ -437,7 +445,8 @@ class _Search:
         self.k += 1
         self.comp = components(links, self.work, f"{self.k}_{name}_stars")
 
-    def run(self) -> DataFrame:
+    def search(self) -> None:
+        """Find the classes and confirm the links between them."""
         sketched = self.docs.select("id", F.arrow_udf(_sketches, SKETCH)("text").alias("s")).select("id", "s.*")
         self.sketched = self.keep(sketched, "sketches")
         first = [F.first(c).alias(c) for c in ("n", "sig", "roots")]
@@ -451,7 +460,6 @@ class _Search:
             nodes = self.level(nodes, depth)
             if nodes is None:
                 break
-        return self.result()
 
     def level(self, nodes: DataFrame, depth: int) -> DataFrame | None:
         """Compare the nodes of one depth; the nodes of the next, if there are any."""
@@ -515,17 +523,34 @@ class _Search:
         links = sorted_rows.mapInArrow(_confirm_inside(self.similarity), "u bigint, v bigint")
         self.link(links, "rest")
 
-    def result(self) -> DataFrame:
+    def groups(self) -> DataFrame:
+        """Per class: its component (root) and that component's least id (rep)."""
         named = self.classes.select("cid", "rep")
-        if self.comp is not None:
-            known = self.comp.select(F.col("u").alias("cid"), F.col("v").alias("root"))
-            rooted = named.join(known, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-            named = rooted.join(least, "root").select("cid", F.col("least").alias("rep"))
-        out = self.sketched.join(named, "cid", "left")
+        if self.comp is None:
+            return named.withColumn("root", F.col("cid"))
+        known = self.comp.select(F.col("u").alias("cid"), F.col("v").alias("root"))
+        rooted = named.join(known, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+        return rooted.join(least, "root").select("cid", F.col("least").alias("rep"), "root")
+
+    def result(self) -> DataFrame:
+        out = self.sketched.join(self.groups().drop("root"), "cid", "left")
         component = F.coalesce("rep", "id")
         return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
+    def unsettled(self) -> DataFrame:
+        """Pairs (id, cid) of which not every row stays; ``root`` is set where just one row of that component does.
+
+        A component's candidates are its rows of the least id, or all if none has an
+        id.  All other pairs are dropped, and of several candidates one row stays.
+        """
+        rows = self.sketched.where("cid is not null").join(self.groups(), "cid")
+        pairs = rows.groupBy("id", "cid", "root", F.col("id").eqNullSafe(F.col("rep")).alias("first")).agg(F.count("*").alias("c"))
+        pairs = self.keep(pairs, "pairs")
+        several = pairs.where("first").groupBy("root").agg(F.sum("c").alias("c")).where("c > 1").select("root")
+        tied = pairs.where("first").join(several, "root").select("id", "cid", "root")
+        return self.keep(pairs.where("not first").select("id", "cid", F.lit(None).cast("long").alias("root")).unionByName(tied), "unsettled")
+
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: tuple[int, int] = SIMILARITY
@@ -536,17 +561,42 @@ def near_duplicates(
     for their sets of shingles.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return _Search(rows, similarity).run().withColumnRenamed("id", id_col)
+    search = _Search(rows, similarity)
+    search.search()
+    return search.result().withColumnRenamed("id", id_col)
 
 
 def keep_representatives(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
-    """The documents without those whose component has a smaller id; rows that repeat the least id, and rows without an id, all stay."""
-    found = near_duplicates(docs, id_col, text_col, similarity=similarity)
-    name = free_name(docs, "dropped_id")
-    dropped = Workspace(docs.sparkSession).table(found.where("not kept").select(F.col(id_col).alias(name)).distinct(), "dropped")
-    # Only documents that may be among the dropped ones are moved to find out.
-    may_hold = id_filter(dropped.select(F.col(name).alias("id")))(F.col(id_col))
-    unsure = docs.where(may_hold).join(dropped, F.col(id_col) == F.col(name), "left_anti")
-    return docs.where(~may_hold).unionByName(unsure.select(*docs.columns))
+    """One document of each component: the one of its least id, or any if none has an id.
+
+    Rows are told apart by id and set of shingles, so an id of two texts loses only the
+    one that has a smaller id in its component.  Of several rows of the least id, or
+    without any, one stays.  Texts without words all stay.
+    """
+    search = _Search(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), similarity)
+    search.search()
+    taken = free_name(docs, "dropped_id"), free_name(docs, "class"), free_name(docs, "component"), free_name(docs, "row_tag")
+    name, cid, root, tag = taken
+    unsettled = search.unsettled().toDF(name, cid, root)
+
+    def open_rows(pairs: DataFrame) -> Column:
+        # Only documents that may be among the unsettled ones are moved to find out.
+        return id_filter(pairs.select(F.col(name).alias("id")))(F.col(id_col))
+
+    may_hold = open_rows(unsettled)
+    classed = lambda rows: rows.withColumn(cid, F.arrow_udf(_set_ids, "bigint")(F.col(text_col)))
+    same = lambda rows, pairs: rows[id_col].eqNullSafe(pairs[name]) & (rows[cid] == pairs[cid])
+    unsure = classed(docs.where(may_hold))
+    settled = unsure.join(unsettled, same(unsure, unsettled), "left_anti")
+    out = docs.where(~may_hold).unionByName(settled.select(*docs.columns))
+    tied = unsettled.where(F.col(root).isNotNull())
+    if tied.isEmpty():
+        return out
+    # A tag holds only if it is written once.
+    rows = classed(docs.where(open_rows(tied)))
+    rows = rows.join(tied, same(rows, tied)).select(*[rows[c] for c in docs.columns], root)
+    rows = search.keep(rows.withColumn(tag, F.monotonically_increasing_id()), "tied")
+    first = rows.groupBy(root).agg(F.min(tag).alias(tag))
+    return out.unionByName(rows.join(first, [root, tag], "left_semi").select(*docs.columns))

@@ -92,6 +92,20 @@ def test_representatives_and_empty(spark, corpus):
     assert N.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_are_dropped_one_by_one(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(200))
+    rows = [(1, text("a")), (5, text("a") + " z"), (5, text("b")), (6, text("b").upper())]  # id 5 has two texts
+    rows += [(7, text("c"))] * 3 + [(7, text("c") + " z"), (8, text("c")), (None, text("c"))]  # repeats of the least id
+    rows += [(None, text("d"))] * 4 + [(None, text("d") + " z"), (None, "alone"), (2, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, class string")
+    kept = N.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    first = lambda r: (r.doc_id, (r.text or "-").split(" ")[0].lower())
+    got = sorted(map(first, kept.collect()), key=str)
+    assert got == sorted([(1, "a0"), (5, "b0"), (7, "c0"), (None, "d0"), (None, "alone"), (2, "-"), (None, "-")], key=str)
+    assert N.keep_representatives(docs.where("doc_id = 1")).count() == 1
+
+
 def test_hashes_and_signatures():
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choice("aAbé") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 30))) for _ in range(300)]
