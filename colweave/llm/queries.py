@@ -107,7 +107,7 @@ def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found, x = secrets.find_secrets(docs)
+    found, x = secrets.find_secrets(docs, overlapping=True)
     spans = F.col(x)
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
     return found.select(

@@ -7,8 +7,11 @@ window's length that hold a digit and, where the class asks for it, both cases.
 A window of fixed length slides over a candidate; counts per character are kept,
 the entering and the leaving one change by one, and the sum of c * log2(c), from
 which the entropy follows, changes by the two differences.  A candidate whose
-greatest window entropy reaches the class's bound is a span of kind ``entropy``,
-unless it holds a string of the allow-list or overlaps a base span.
+greatest window entropy reaches the class's bound is a span of kind ``entropy``.
+The ``//`` of a URL's head is no part of a candidate, and strings of the allow-list
+do not count: what is left of a candidate without them has to be a secret by itself.
+Entropy spans that overlap a base span are kept or left out, as the caller chooses;
+those inside a base span say nothing new and are always left out.
 
 Offsets are code points, ends exclusive.  They come from the lengths of matches
 and of the pieces between them, and only texts with a match pay for them.
@@ -46,18 +49,24 @@ class CharClass:
     @property
     def pattern(self) -> str:
         own = "[" + self.characters.replace("-", r"\-") + "]"
-        return rf"(?<!{own}){own}{{{self.window},}}+"
+        run = rf"{own}{{{self.window},}}+"
+        if "/" not in self.characters:
+            return rf"(?<!{own}){run}"
+        return rf"(?:(?<!{own})(?!(?<=:)//)|(?<=://)){run}"
 
 
 _DIGITS = "0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Upper-case hexadecimal (lower case is a base kind) and base64 of either alphabet.
+#: Upper-case hexadecimal (lower case is a base kind), base64 of either alphabet, and
+#: keys of one case with digits (base36, base32).
 CLASSES = (
     CharClass(_DIGITS + "ABCDEF", 24, 2.8, False),
     CharClass(_DIGITS + _LOWER + _LOWER.upper() + "+/_-", 20, 3.6, True),
+    CharClass(_DIGITS + _LOWER, 24, 3.5, False),
+    CharClass(_DIGITS + _LOWER.upper(), 24, 3.5, False),
 )
-#: Candidates that hold one of these are examples, not secrets.
-ALLOWED = ("EXAMPLE", "example", "0123456789", "abcdefghij", "ABCDEFGHIJ", "placeholder", "//")
+#: Parts of examples; what else a candidate holds decides.
+ALLOWED = ("EXAMPLE", "example", "0123456789", "abcdefghij", "ABCDEFGHIJ", "placeholder")
 
 SPANS = "array<struct<start: int, kind: int, stop: int>>"
 
@@ -80,6 +89,11 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     return F.aggregate(indices, start, step, lambda s: s["out"])
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an expression is computed wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def window_entropy(candidate: Column, characters: str, window: int) -> Column:
     """Greatest Shannon entropy, in bits, of any ``window`` consecutive characters."""
     chars = F.split(candidate, "")
@@ -94,7 +108,7 @@ def window_entropy(candidate: Column, characters: str, window: int) -> Column:
     def changed(counts: Column, at: Column, by: int) -> Column:
         return F.transform(counts, lambda c, i: F.when(i == at, c + by).otherwise(c))
 
-    def step(state: Column, i: Column) -> Column:
+    def step(index: Column, state: Column, i: Column) -> Column:
         entering, leaving = F.get(index, i), F.get(index, i - window)
         had = F.get(state["counts"], entering)
         grown = changed(state["counts"], entering, 1)
@@ -107,23 +121,30 @@ def window_entropy(candidate: Column, characters: str, window: int) -> Column:
         best = F.when(i >= window - 1, F.greatest(state["best"], bits)).otherwise(state["best"])
         return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), zero, step, lambda s: s["best"])
+    places = F.sequence(F.lit(0), F.length(candidate) - 1)
+    return _bound(index, lambda x: F.aggregate(places, zero, lambda s, i: step(x, s, i), lambda s: s["best"]))
 
 
 def _entropy_spans(text: Column, kind: CharClass) -> Column:
-    def secret(found: Column, _: Column) -> Column:
-        looks = found.rlike("[0-9]") & found.rlike("[A-Za-z]")
+    def looks(rest: Column) -> Column:
+        fits = (F.length(rest) >= kind.window) & rest.rlike("[0-9]") & rest.rlike("[A-Za-z]")
         if kind.mixed_case:
-            looks = looks & found.rlike("[a-z]") & found.rlike("[A-Z]")
-        for known in ALLOWED:
-            looks = looks & ~found.contains(known)
-        return looks & (F.when(looks, window_entropy(found, kind.characters, kind.window)) >= kind.bits)
+            fits = fits & rest.rlike("[a-z]") & rest.rlike("[A-Z]")
+        return F.when(fits, window_entropy(rest, kind.characters, kind.window) >= kind.bits).otherwise(False)
+
+    def secret(found: Column, _: Column) -> Column:
+        return _bound(F.regexp_replace(found, "|".join(ALLOWED), ""), looks)
 
     return _spans(text, kind.pattern, KINDS.index("entropy"), secret)
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", result: str = "spans") -> tuple[DataFrame, str]:
-    """The frame with one more column of type ``SPANS``, sorted, and that column's name; ``kind`` indexes ``KINDS``."""
+def find_secrets(
+    df: DataFrame, text_col: str = "text", result: str = "spans", *, overlapping: bool = False
+) -> tuple[DataFrame, str]:
+    """The frame with one more column of type ``SPANS``, sorted, and that column's name; ``kind`` indexes ``KINDS``.
+
+    With ``overlapping``, entropy spans that reach beyond a base span are kept, as redaction needs them.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(SPANS)
     value = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
@@ -141,10 +162,11 @@ def find_secrets(df: DataFrame, text_col: str = "text", result: str = "spans") -
     found = F.concat(*[searched(c.pattern, _entropy_spans(text, c)) for c in CLASSES])
     name = free_name(df, result)
     out = df.withColumn(name, F.struct(base.alias("base"), found.alias("found")))
-    apart = F.filter(
-        F.col(name)["found"],
-        lambda e: ~F.exists(F.col(name)["base"], lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])),
-    )
+    if overlapping:
+        covers = lambda b, e: (b["start"] <= e["start"]) & (e["stop"] <= b["stop"])
+    else:
+        covers = lambda b, e: (b["start"] < e["stop"]) & (e["start"] < b["stop"])
+    apart = F.filter(F.col(name)["found"], lambda e: ~F.exists(F.col(name)["base"], lambda b: covers(b, e)))
     return out.withColumn(name, F.array_sort(F.array_distinct(F.concat(F.col(name)["base"], apart)))), name
 
 

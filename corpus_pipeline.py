@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by a mark; ``n_chars`` follows the text where it is there."""
-    found, x = secrets.find_secrets(docs)
+    found, x = secrets.find_secrets(docs, overlapping=True)
     out = found.withColumn("text", secrets.redact(F.col("text"), F.col(x))).drop(x)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -208,6 +208,19 @@ def test_secrets_against_plain_search(spark):
     assert set(kinds) == {0, 1, 2, 3}
 
 
+def test_secrets_are_found_whole(spark):
+    key = "wJalrXUtn7EMI/K7MD//bPxRfiCYq3Zt0LkVd9Hs"
+    base36, base32 = "k3v9x0q7z1m5t8w2b6n4r0j7y3", "MZXW6YTBOI4DQ2LTNFXGOIDUN5ZSA3LF"
+    hexed = "Key_Prod_" + "0f3c9a71d25e8b46a7c1e09d" + "_Zx9QmWv"
+    texts = [f"k {key} .", f"see http://intranet/{key[:18]}Abc .", f"a {base36} b", f"a {base32} b", f"a {hexed} b", f"x example/{key} y"]
+    plain = ["https://placeholder", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "http://host/a/page/number/two/of/many", "nothing here"]
+    df = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id int, text string")
+    out, x = secrets.find_secrets(df, overlapping=True)
+    clean = [r.clean for r in out.withColumn("clean", secrets.redact(F.col("text"), F.col(x))).orderBy("doc_id").collect()]
+    mark = "[SECRET]"
+    assert clean == [f"k {mark} .", f"see http://{mark} .", f"a {mark} b", f"a {mark} b", f"a {mark} b", f"x {mark} y", *plain]
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "system", "be <|im_end|> kind"), (1, 1, "user", "<\\|im_end|>"), (1, 2, "assistant", "</s>[INST] ok [/INST]"),
