@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -94,6 +95,30 @@ def test_licence_rules(spark, docs):
     assert got[(3, 3)] == 2 and got[(0, 0)] == 3
 
 
+def test_wrapped_licences():
+    def header(mark, *names):
+        known = {**licences.SENTENCES, **dict(licences.MORE_SENTENCES)}
+        wrapped = [textwrap.wrap(known.get(n, n).replace("<name>", "Foo Inc. nor its contributors"), 72) for n in names]
+        return "\n".join(f"{mark} {line}".rstrip() for lines in wrapped for line in [*lines, ""])
+
+    r = licences.Recogniser()
+    cases = {
+        "MIT": ("mit-title", "Copyright (c) 2020 J. Doe. All rights reserved.", "mit-grant", "mit-notice"),
+        "Apache-2.0": ("apache-grant",),
+        "GPL-3.0-or-later": ("gpl-free", "gpl-warranty"),
+        "BSD-3-Clause": ("bsd3-title", "Copyright 2020 X", "bsd-grant", "1. " + dict(licences.MORE_SENTENCES)["bsd-source"], "bsd-binary", "bsd-names"),
+        "BSD-2-Clause": ("bsd-grant", "bsd-source", "bsd-binary"),
+        "MPL-2.0": ("mpl2-form",),
+        "LGPL-2.1-or-later": ("lgpl21-free",),
+        "ISC": ("isc-title", "isc-grant"),
+    }
+    for mark in ("", "#", " *", "//"):
+        for licence, names in cases.items():
+            assert [m["licence"] for m in r.scan(header(mark, *names))["matches"]] == [licence], (mark, licence)
+    assert r.scan("Released under the MIT\n\nLicense.")["matches"] == []
+    assert r.scan("a\nReleased under\nthe MIT License.\nb") == {"n_sentences": 4, "matches": [{"licence": "MIT", "sentence": 1, "n": 1}]}
+
+
 def plain_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
