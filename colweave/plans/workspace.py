@@ -29,12 +29,20 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_root(spark).rstrip('/')}/colweave/{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the run's last table and delete all others of the run."""
+        told = self.table(df, name)
+        self.drop(*[n for n in self.names if n != name])
+        return told
+
     def drop(self, *names: str) -> None:
         """Delete intermediate tables no later step needs (all of the run's when none is named)."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
