@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, language, licences, near_dedup, quality_model, quality_rules, reputation, secrets
+from . import (
+    bpe,
+    chat,
+    decontaminate,
+    language,
+    lexical,
+    licences,
+    near_dedup,
+    phrases,
+    pii,
+    quality_model,
+    quality_rules,
+    reputation,
+    secrets,
+)
 from .common import fold, table
 from .sql import ORACLES
 
@@ -140,6 +154,29 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op13_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found, x = pii.find_pii(docs, pii.fit(docs))
+    spans = F.col(x)
+    count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])],
+        F.sha2(pii.listed(spans, pii.KINDS[:4]), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+        count(4).alias("n_context"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -153,6 +190,9 @@ QUERIES: dict[str, Query] = {
         op8_chat_formatting,
         op9_secret_scans,
         op10_byte_bpe,
+        op11_phrase_collocations,
+        op12_lexical_search,
+        op13_pii,
     )
 }
 ORACLE_SQL = ORACLES

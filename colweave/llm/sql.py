@@ -123,10 +123,50 @@ from t group by conv_id
 """
 
 
+OP11 = rf"""
+with p as (select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+g as (select lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as g
+  from w, (select unnest(range(1, 5)) as k) where len(w) >= k),
+f as (select lang, k, g, count(*) as a from g group by all),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by 1),
+c as (select lang, k, g, a, string_split(g, ' ') as w from f where k > 1 and a >= 30),
+cut as (select *, unnest(range(1, k)) as first from c),
+s as (select cut.lang, cut.k, cut.g, cut.a, first, l.a as l, r.a as r, (2000000::hugeint * cut.a) // (l.a::hugeint + r.a) as score
+  from cut join f l on l.lang = cut.lang and l.k = first and l.g = array_to_string(w[:first], ' ')
+  join f r on r.lang = cut.lang and r.k = cut.k - first and r.g = array_to_string(w[first + 1:], ' ')
+  qualify row_number() over (partition by cut.lang, cut.g order by score, first) = 1),
+inside as (select lang, a, array_to_string(w[i:i + m - 1], ' ') as g from
+  (select lang, a, w, m, unnest(range(1, k - m + 2)) as i from c, (select unnest(range(2, 4)) as m) where m < k)),
+dropped as (select distinct s.lang, s.g from s join inside using (lang, g) where 100 * inside.a::hugeint >= 80 * s.a::hugeint)
+select lang, row_number() over (partition by lang order by score desc, a desc, g)::int as rank_, g, a, l, r, n, score
+from s anti join dropped using (lang, g) join n using (lang)
+qualify rank_ <= 2000
+"""
+OP11 = f"select lang, rank_::bigint as rank, g as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ({OP11})"
+
+_TERMS = rf"coalesce(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+OP12 = f"""
+with d as (select doc_id, {_TERMS} as w from documents),
+b as (select distinct item_id, unnest({_TERMS}) as t from benchmark),
+st as (select count(*) as docs, sum(len(w))::bigint as terms from d where len(w) > 0),
+tf as (select doc_id, n, t, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as t from d)
+  where t in (select t from b) group by all),
+wt as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as weight
+  from (select t, count(*) as df from tf group by 1), st),
+sc as (select item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::bigint as score
+  from b join tf using (t) join wt using (t), st group by 1, 2)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from sc where score > 0 qualify rank <= 10
+"""
+
 ORACLES = {
     "op1_minhash_dedup": OP1,
     "op2_decontaminate": OP2,
     "op3_license_scans": _op3(),
     "op4_url_filters": _op4(),
     "op8_chat_formatting": _op8(),
+    "op11_phrase_collocations": OP11,
+    "op12_lexical_search": OP12,
 }
