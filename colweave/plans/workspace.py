@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -37,12 +37,25 @@ class Workspace:
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str, **more: Column) -> tuple[DataFrame, dict]:
+        """Write a table; also its number of rows ``n`` and ``more`` aggregates, seen while it is written."""
+        seen = Observation()
+        told = self.table(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]), name)
+        return told, seen.get
+
     def last(self, df: DataFrame, name: str) -> DataFrame:
         """Write the run's last table and delete all others of the run."""
         told = self.table(df, name)
-        self.drop(*[n for n in self.names if n != name])
+        self.drop_but(name)
         return told
 
+    def drop_but(self, *kept: str) -> None:
+        """Delete all tables of the run but some."""
+        gone = [n for n in self.names if n not in kept]
+        if gone:
+            self.drop(*gone)
+        self.names = [n for n in self.names if n in kept]
+
     def drop(self, *names: str) -> None:
         """Delete intermediate tables no later step needs (all of the run's when none is named)."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
