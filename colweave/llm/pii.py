@@ -20,7 +20,8 @@ after a kept pattern is a span of kind ``context``.
 
 Scale: a pass over the texts collects the graph (summed in the tasks), a second one counts
 the occurrences of patterns with enough support (a bitmap of bounded size tells the tasks
-which), a third one marks.  Rounds work on the graph's tables alone.
+which), a third one marks.  Patterns that occur too often already in one of ``SHARE`` texts
+to reach the confidence, were all their slots trusted, are not counted in full.  Rounds work on the graph's tables alone.
 
 Edge cases: null and empty texts have no spans; texts are searched whole; rows are judged by
 themselves, so ids and extra columns do not matter and equal texts get equal spans; repeated
@@ -58,6 +59,8 @@ LONGEST = 3
 _CANDIDATE = re.compile(r"[A-Za-z0-9@._/+-]{6,}+")
 _TOKEN = re.compile(r"[^\W\d_]+|[:#=]")
 _GAP = re.compile(r"[^\w:#=]*")
+#: One in so many texts is counted first, to leave out patterns that cannot reach the confidence any more.
+SHARE = 64
 #: Edges and tokens that a task holds before it hands its counts on.
 HELD_EDGES, HELD_TOKENS = 200_000, 3_000_000
 
@@ -242,6 +245,12 @@ def fit(
     graph = work.table(edges(docs, text_col), "graph")
     able = graph.groupBy("key").agg(F.countDistinct("instance").alias("support")).where(F.col("support") >= support)
     able = work.table(able.select("key"), "able")
+    # What occurs in a share of the texts alone so often that no trust can make up for it needs no full count.
+    share = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SHARE)) == 0)
+    least = occurrences(share, text_col, Bitmap(spark, able, able.count()))
+    mass = graph.join(able, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"))
+    hopeless = F.coalesce(F.col("total"), F.lit(0)) * F.lit(confidence) > F.col("n")
+    able = work.table(mass.join(least, "key", "left").where(~hopeless).select("key"), "hopeful")
     total = work.table(occurrences(docs, text_col, Bitmap(spark, able, able.count())), "total")
     # Every slot with a context has one pattern of one token, so those count an instance's occurrences.
     every = work.table(graph.where("not seed and length = 1").groupBy("instance").agg(F.sum("n").alias("all")), "every")
