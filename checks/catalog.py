@@ -467,6 +467,53 @@ register(
 )
 register("map_tagged_orders", lambda spark, sf: rounded(match_orders(spark, sf, "tagged").mapping))
 
+# Many elements a cell on both sides, none equal to one of the other side.
+MERGED_PARTS = """(select p_size::varchar as id, {cells} from part{where} group by 1)"""
+
+
+def merged_parts(columns: dict[str, str], where: str = "") -> str:
+    cells = [f"string_agg({x}, ' | ' order by p_partkey) as {name}" for name, x in columns.items()]
+    return MERGED_PARTS.format(cells=", ".join(cells), where=where)
+
+
+PART_COLS = ["p_name", "p_brand", "p_type"]
+PART_TABLES = [
+    "dash as " + merged_parts({"item": "substr(p_name, 1, 2) || substr(p_name, 4)"}, " where p_partkey % 3 <> 0"),
+    "src as " + merged_parts({c: c for c in PART_COLS}),
+    O.long_cells("dash", ["item"], "dcells", ", id as key"),
+    O.long_cells("src", PART_COLS, "scells"),
+]
+
+
+def match_parts(spark: SparkSession, sf: str, profile: str):
+    return match_columns(
+        V.parts(spark, sf), V.stocked_parts(spark, sf), "p_size", profile=profile,
+        source_order=["p_partkey"], dash_order=["p_partkey"],
+    )
+
+
+register(
+    "candidates_weighted_parts",
+    lambda spark, sf: rounded(match_parts(spark, sf, "weighted").candidates),
+    O.candidates("weighted", PART_TABLES),
+)
+register(
+    "map_longguard_parts",
+    lambda spark, sf: rounded(match_parts(spark, sf, "longguard").mapping),
+    O.mapping("longguard", PART_TABLES),
+)
+
+
+def match_lines(spark: SparkSession, sf: str, profile: str):
+    return match_columns(
+        V.line_parts(spark, sf), V.returned_parts(spark, sf), "l_suppkey", profile=profile,
+        source_order=V.LINE_ORDER, dash_order=V.LINE_ORDER,
+    )
+
+
+# Hundreds of values a cell: plain SQL cannot hold all pairs; tests compare a small table with all pairs.
+register("candidates_weighted_lines", lambda spark, sf: rounded(match_lines(spark, sf, "weighted").candidates))
+
 # Whole documents against their opening words, language and source.
 DOC_TABLES = [
     "dash as (select doc_id::varchar as id, doc_id as key, array_to_string(string_split(text, ' ')[1:4], ' ') as opening, "

@@ -5,7 +5,7 @@ Each Spark view has its SQL twin in ``oracles.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +48,7 @@ def src(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names beside themselves with the third character missing."""
-    name = F.col("p_name")
-    typo = F.concat(F.substring(name, 1, 2), name.substr(F.lit(4), F.length(name)))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", typo.alias("p_name_typo"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", mistyped("p_name").alias("p_name_typo"))
 
 
 def order_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +56,41 @@ def order_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items beside their part: hundreds of rows per supplier, merged in line order."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", *LINE_ORDER, "l_returnflag")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return line.join(part, line.l_partkey == part.p_partkey)
+
+
+def line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("l_suppkey", *LINE_ORDER, "p_name", "p_brand", "p_type")
+
+
+def mistyped(name: str) -> Column:
+    return F.concat(F.substring(name, 1, 2), F.col(name).substr(F.lit(4), F.length(name)))
+
+
+def returned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report side: names of returned parts with the third character missing."""
+    returned = lines(spark, sf_dir).where("l_returnflag = 'R'")
+    return returned.select("l_suppkey", *LINE_ORDER, mistyped("p_name").alias("item"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by size: some 40 rows per id, merged in key order."""
+    return table(spark, sf_dir, "part").select("p_size", "p_partkey", "p_name", "p_brand", "p_type")
+
+
+def stocked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report side of the parts: two of three, their names with the third character missing."""
+    kept = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0")
+    return kept.select("p_size", "p_partkey", mistyped("p_name").alias("item"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 

@@ -339,6 +339,8 @@ def resolve(profile: Profile, pairs: DataFrame, *keep: str, prune: bool = False)
             miss = ~_may_reach(
                 profile, d["els"], s["els"], penalty, profile.threshold("similarity")
             )
+            # Several elements on both sides are joined by their grams later, not tried pair by pair here.
+            miss = ~both_several(d["els"], s["els"]) & miss
             if profile.best_equal is None:
                 miss = miss & ~F.arrays_overlap(d["els"], s["els"])
             known = known.when(miss, F.lit(0.0))
@@ -394,9 +396,11 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.length(a).cast("string"), F.lit(":"), a, b)))
 
 
-def measure(profile: Profile, pairs: DataFrame) -> DataFrame:
+def measure(profile: Profile, pairs: DataFrame, prune_at: float | None = None) -> DataFrame:
     """``ratio``, ``partial`` and ``lev`` of distinct pairs ``(ek, a, b)``.
 
+    Pairs that cannot reach ``prune_at`` may get a partial ratio of 0.
+
     Equal, empty and contained values have closed forms; only the rest reaches
     the UDF.  The explicit repartition spreads the pairs over all tasks: their
     cost is CPU, which AQE would not see when it merges small partitions.
@@ -412,10 +416,18 @@ def measure(profile: Profile, pairs: DataFrame) -> DataFrame:
     if profile.scorer == "hybrid":
         hard = hard & ~F.contains(b, a)
     spread = pairs.repartition(task_count(pairs), "ek")
+    bar, weights = None, (0.0, 0.0)
+    if prune_at is not None:
+        # What ratio and partial ratio have to bring; values that do not contain each other get no boost.
+        w = profile.weights
+        weights = (w["ratio"], w["partial"])
+        alike = F.when(F.arrays_overlap(*[X.grams(x, min(tfidf.GRAM_SIZES)) for x in (a, b)]), F.lit(w["tfidf"]))
+        bar = F.lit(prune_at - SLACK) - w["levenshtein"] * fuzzy.levenshtein_similarity(a, b) - F.coalesce(alike, F.lit(0.0))
+        bar = F.when(F.col("hard"), bar)
     scored = spread.withColumn("hard", hard).withColumn(
         "f",
         fuzzy.fuzzy_struct(
-            F.when(F.col("hard"), a), F.when(F.col("hard"), b), profile.fuzzy_backend
+            F.when(F.col("hard"), a), F.when(F.col("hard"), b), profile.fuzzy_backend, bar, weights
         ),
     )
     closed = F.when(equal, F.lit(1.0)).when(empty, F.lit(0.0))
@@ -431,6 +443,83 @@ def measure(profile: Profile, pairs: DataFrame) -> DataFrame:
     )
 
 
+# ---- element pairs --------------------------------------------------------------------------
+
+
+def both_several(d_els: Column, s_els: Column) -> Column:
+    """Whether all pairs of two element sets are more than the elements themselves."""
+    return (F.size(d_els) > 1) & (F.size(s_els) > 1)
+
+
+def every_element_pair(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of ``(d_els, s_els)`` to one row per element pair ``(a, b)``."""
+    return rows.select(*keep, F.explode("d_els").alias("a"), "s_els").select(*keep, "a", F.explode("s_els").alias("b"))
+
+
+def unlike_bound(profile: Profile, q: int, n: int) -> float:
+    """Greatest score of two values of ``n`` characters or more that share no run of ``q`` characters.
+
+    What two values match in order then falls into runs shorter than q, with an unmatched
+    character between any two runs.  So of la + lb characters at most
+    (la + lb + 1)(q - 1) / (2q - 1) match; of a window no longer than the shorter value at
+    most ((q - 1)(m + 1)) / q do; and at least (max - q + 1) / q edits are needed.  All three
+    measures fall with the length.  Without a common run of three the cosine is 0.
+    """
+    if q == 1:
+        return 0.0
+    ratio = min(1.0, 2 * (q - 1) / (2 * q - 1) * (1 + 1 / (2 * n)))
+    window = min(float(n), (q - 1) * (n + 1) / q)
+    partial = 2 * window / (n + window)
+    lev = min(1.0, (q - 1) / q * (1 + 1 / n))
+    if profile.fuzzy_backend == "difflib":
+        partial = lev = ratio
+    w = profile.weights
+    return w["ratio"] * ratio + w["partial"] * partial + w["levenshtein"] * lev
+
+
+def least_lengths(profile: Profile) -> list[int]:
+    """For q = 1, 2, ...: the length from which values have to share a run of q characters to score a hit."""
+    floor = profile.threshold("similarity") - SLACK
+    out = [1]
+    for q in range(2, min(tfidf.GRAM_SIZES) + 1):
+        fits = [n for n in range(q, 200) if unlike_bound(profile, q, n) < floor]
+        if not fits:
+            break
+        out.append(max(out[-1], fits[0]))
+    return out
+
+
+def alike_element_pairs(profile: Profile, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Element pairs ``(a, b)`` of each row that may score a hit, by an inverted index on shared runs.
+
+    The longer the values, the longer the run that both must hold (``least_lengths``); a pair
+    is joined on the runs of its shorter-run side, hashed, by element number, so no text moves.
+    Every pair left out shares no such run and scores below the threshold.
+    """
+    lengths = least_lengths(profile)
+
+    def order(x: Column) -> Column:
+        return sum((F.length(x) >= F.lit(n)).cast("int") for n in lengths)
+
+    def run_keys(x: Column, q: int) -> Column:
+        return F.transform(F.array_distinct(X.grams(x, q)), lambda run: F.xxhash64(F.lit(q), run))
+
+    def index(els: str, other: str, place: str) -> DataFrame:
+        orders = F.array_distinct(F.transform(other, order))
+        sided = rows.select("ck", orders.alias("others"), F.posexplode(els).alias(place, "x"))
+        sided = sided.withColumn("own", order(F.col("x")))
+        own, others = F.col("own"), F.col("others")
+        runs = []
+        for q in range(1, len(lengths) + 1):
+            asked = (own == q) & (F.array_max(others) >= q) | (own > q) & F.array_contains(others, q)
+            runs.append(F.when(asked, run_keys(F.col("x"), q)).otherwise(F.array().cast("array<bigint>")))
+        return sided.select("ck", place, F.explode(F.concat(*runs)).alias("run"))
+
+    pairs = index("d_els", "s_els", "i").join(index("s_els", "d_els", "j"), ["ck", "run"]).select("ck", "i", "j").distinct()
+    found = rows.join(pairs, "ck")
+    return found.select(*keep, F.get("d_els", "i").alias("a"), F.get("s_els", "j").alias("b"))
+
+
 def _closed_cosine(profile: Profile, prune_at: float | None) -> Column:
     """Cosine where it is known or cannot matter, else null."""
     a, b = F.col("a"), F.col("b")
@@ -463,11 +552,12 @@ def score_open(
     rejoined by a 16-byte key, so text is shuffled once however often it repeats.
     """
     keep = [c for c in rows.columns if c not in ("d_els", "s_els")]
-    exploded = (
-        rows.select(*keep, F.explode("d_els").alias("a"), "s_els")
-        .select(*keep, "a", F.explode("s_els").alias("b"))
-    )
+    exploded = every_element_pair(rows, keep)
     if prune and profile.prune_floor is not None:
+        several = both_several(F.col("d_els"), F.col("s_els"))
+        exploded = every_element_pair(rows.where(~several), keep).unionByName(
+            alike_element_pairs(profile, rows.where(several), keep)
+        )
         # Element pairs that cannot lift their row over the threshold; every open row has one that can.
         ceiling = _ceiling(profile, F.col("a"), F.col("b")) * F.col("penalty")
         can = ceiling >= F.lit(profile.threshold("similarity") - SLACK)
@@ -476,7 +566,7 @@ def score_open(
     distinct = exploded.select("ek", "a", "b").distinct()
     prune_at = profile.prune_floor if prune else None
     measured = ws.table(
-        measure(profile, distinct).withColumn("cosine", _closed_cosine(profile, prune_at)), "elements"
+        measure(profile, distinct, prune_at).withColumn("cosine", _closed_cosine(profile, prune_at)), "elements"
     )
     cosines = tfidf.cosine(
         measured.where(F.col("cosine").isNull()).select("ek", "a", "b"), vocabulary, broadcast_grams
@@ -492,4 +582,8 @@ def score_open(
     if profile.scorer in ("unified", "rowwise"):
         return joined.drop("penalty")  # one element pair per row
     best = joined.groupBy(*keep).agg(F.max("score").alias("score"))
+    if prune and profile.prune_floor is not None:
+        # Rows of several elements without any pair alike enough are misses.
+        missed = rows.where(several).join(best.select("ck"), "ck", "left_anti")
+        best = best.unionByName(missed.select(*keep, F.lit(0.0).alias("score")))
     return best.withColumn("score", F.col("score") * F.col("penalty")).drop("penalty")
