@@ -16,8 +16,9 @@ their parts and extensions, so a language is settled, ties included, if ``top``
 survive.  For the others the next round takes a larger ``k``; a threshold of 0 ends it.
 
 Scale: a word is named by 64 bits of its hash together with its language (two words of
-one name are noticed, and other names taken).  Phrases are tuples of names, counted in
-the tasks that read the texts and summed by Spark.  Tasks learn what is open from bitmaps
+one name are noticed, and other names taken).  The texts are read once and written as chunks of
+word numbers; phrases are tuples of names, counted in the tasks that read the chunks and
+summed by Spark.  Tasks learn what is open from bitmaps
 of a fixed greatest size, whose false positives only add rows that later joins leave out.
 Nothing else reaches the driver, and no key gathers more than one row per task.
 
@@ -43,10 +44,8 @@ TOP, LEAST, COVER, SCALE = 2000, 30, 80, 1_000_000
 WIDER = 8
 #: Bits of an open-set bitmap: 16 for each member, at least 2^16 and at most these.
 MAX_BITS = 27
-#: Distinct words, and n-grams, that a task holds before it hands its counts on.
-HELD_WORDS, HELD_GRAMS = 400_000, 3_000_000
-#: Local numbers of words have 21 bits, so that three fit an integer.
-_WORD_BITS = 21
+#: Words of a chunk, and words that a task holds before it hands its counts on.
+HELD_WORDS, HELD_GRAMS = 500_000, 1_500_000
 _SALTS = 64
 
 # Fixed values: ``.`` stands for every character that ends a piece; A-Z become a-z.
@@ -67,9 +66,6 @@ def _name(lang: str, word: bytes, seed: int) -> int:
 
 # ---------------------------------------------------------------- bitmaps
 
-_U64 = (1 << 64) - 1
-
-
 def _mix(*names: np.ndarray) -> np.ndarray:
     """One 64-bit hash for each tuple of names."""
     out = np.zeros(len(names[0]), np.uint64)
@@ -80,13 +76,6 @@ def _mix(*names: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _mix_one(name: int) -> int:
-    """``_mix`` of a single name."""
-    out = (name * 0x9E3779B97F4A7C15) & _U64
-    out = ((out ^ (out >> 29)) * 0xBF58476D1CE4E5B9) & _U64
-    return out ^ (out >> 32)
-
-
 class Bitmap:
     """A set of tuples of names as bits at their hashes; a broadcast of at most 2^MAX_BITS bits."""
 
@@ -111,87 +100,125 @@ class Bitmap:
         at = _mix(*names) >> np.uint64(64 - self.bits)
         return (self.words.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64)) & 1 == 1
 
-    def holds_one(self, name: int) -> bool:
-        at = _mix_one(name) >> (64 - self.bits)
-        return bool((int(self.words.value[at >> 6]) >> (at & 63)) & 1)
-
 
 # ---------------------------------------------------------------- counting in the tasks
 
 
-def count_words(docs: DataFrame, seed: int) -> DataFrame:
-    """Partial counts (lang, name, word, n); the word is null in the rows that count all words of a language."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-
-        def rows() -> pa.RecordBatch:
-            langs, names, words, counts = [], [], [], []
-            for lang, c in found.items():
-                total = sum(c.values()) - c.pop(b".", 0)
-                langs += [lang] * (len(c) + 1)
-                names += [0, *(_name(lang, w, seed) for w in c)]
-                words += [None, *c]
-                counts += [total, *c.values()]
-            found.clear()
-            arrays = [pa.array(langs, pa.string()), pa.array(names, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "name", "word", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if text.is_valid:
-                    found.setdefault(lang, Counter()).update(tokens(text.as_py()))
-            if sum(map(len, found.values())) > HELD_WORDS:
-                yield rows()
-        yield rows()
-
-    return docs.mapInArrow(count, "lang string, name bigint, word string, n bigint")
-
-
 class _Numbers(dict):
-    """Word to its number in this task: 0 for what ends a run (pieces, words that are not frequent)."""
+    """Word of a language to its number in a chunk; 0 ends a piece."""
 
-    def __init__(self, lang: str, seed: int, frequent: Bitmap, names: list[int]):
+    def __init__(self, lang: str, seed: int, chunk: _Chunk):
         super().__init__({b".": 0})
-        self.lang, self.seed, self.frequent, self.names = lang, seed, frequent, names
+        self.lang, self.seed, self.chunk = lang, seed, chunk
 
     def __missing__(self, word: bytes) -> int:
-        name = _name(self.lang, word, self.seed)
-        self[word] = at = len(self.names) if self.frequent.holds_one(name) else 0
-        if at:
-            self.names.append(name)
+        chunk = self.chunk
+        self[word] = at = len(chunk.names)
+        chunk.names.append(_name(self.lang, word, self.seed))
+        chunk.words.append(word)
+        chunk.langs.append(self.lang)
         return at
 
 
-class _Runs:
-    """Word numbers of a task's documents, handed on when enough are there."""
+class _Chunk:
+    """Numbered words of some documents."""
 
-    def __init__(self, seed: int, frequent: Bitmap):
-        self.seed, self.frequent = seed, frequent
-        self.start()
-
-    def start(self) -> None:
+    def __init__(self, seed: int):
+        self.seed = seed
         self.numbers: dict[str, _Numbers] = {}
-        self.names, self.run = [0], [0]
+        self.names, self.words, self.langs, self.run = [0], [None], [""], [0]
 
     def add(self, lang: str, text: str) -> None:
         numbers = self.numbers.get(lang)
         if numbers is None:
-            numbers = self.numbers[lang] = _Numbers(lang, self.seed, self.frequent, self.names)
+            numbers = self.numbers[lang] = _Numbers(lang, self.seed, self)
         self.run.extend(map(numbers.__getitem__, tokens(text)))
         self.run.append(0)
 
     @property
     def full(self) -> bool:
-        held = sum(map(len, self.numbers.values()))
-        return len(self.run) > HELD_GRAMS or held > 2 * HELD_WORDS or len(self.names) > (1 << (_WORD_BITS - 1))
+        return len(self.run) > HELD_WORDS
+
+    def row(self) -> pa.RecordBatch:
+        run = np.array(self.run, np.int32)
+        counts = np.bincount(run, minlength=len(self.names))
+        counts[0] = 0
+        totals = Counter()
+        for lang, n in zip(self.langs, counts.tolist()):
+            totals[lang] += n
+        totals.pop("", None) if not totals[""] else None
+        langs = [*self.langs[1:], *totals]
+        words = [*self.words[1:], *[None] * len(totals)]
+        names = np.r_[np.array(self.names[1:], np.int64), np.zeros(len(totals), np.int64)]
+        n = np.r_[counts[1:], np.array(list(totals.values()), np.int64)]
+        fields = [pa.array(langs, pa.string()), pa.array(names), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)]
+        counted = pa.ListArray.from_arrays([0, len(langs)], pa.StructArray.from_arrays(fields, ["lang", "name", "word", "n"]))
+        own = np.array(self.names, np.int64).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([run.tobytes()]), counted], ["names", "run", "words"])
+
+
+def encode(docs: DataFrame, seed: int) -> DataFrame:
+    """Chunks of numbered words: the names of the numbers, the numbers in order (0 between pieces), and counts.
+
+    ``words`` has lang, name, word and n; a null word with name 0 counts all words of a language.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _Chunk(seed)
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if text.is_valid:
+                    chunk.add(lang, text.as_py())
+                    if chunk.full:
+                        yield chunk.row()
+                        chunk = _Chunk(seed)
+        yield chunk.row()
+
+    words = "array<struct<lang: string, name: bigint, word: string, n: bigint>>"
+    return docs.mapInArrow(read, f"names binary, run binary, words {words}")
+
+
+def _merged(chunks: list[tuple[np.ndarray, np.ndarray]], frequent: Bitmap) -> tuple[np.ndarray, np.ndarray]:
+    """One run of the chunks over common numbers of frequent words, 0 for all others, and the names of the numbers."""
+    names, inverse = np.unique(np.concatenate([n for n, _ in chunks]), return_inverse=True)
+    good = frequent.holds(names) & (names > 0)
+    number = np.where(good, np.cumsum(good), 0).astype(np.int32)[inverse]
+    ends = np.cumsum([0, *(len(n) for n, _ in chunks)])
+    gap = np.zeros(1, np.int32)
+    run = np.concatenate([x for at, (_, own) in zip(ends, chunks) for x in (number[own + at], gap)])
+    return run, np.r_[np.zeros(1, np.int64), names[good]]
+
+
+def _counted(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns of numbers below ``size``, and how often each occurs."""
+    width = max(1, int(size - 1).bit_length())
+    fit = 63 // width
+    keys = []
+    for at in range(0, len(columns), fit):
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns[at : at + fit]:
+            key = (key << width) | c
+        keys.append(key)
+    if len(keys) == 1:
+        key, counts = np.unique(keys[0], return_counts=True)
+        keys = [key]
+    else:
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        changed = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        first = np.flatnonzero(np.r_[True, changed]) if len(order) else order
+        counts = np.diff(np.r_[first, len(order)])
+        keys = [k[first] for k in keys]
+    out = []
+    for at, key in zip(range(0, len(columns), fit), keys):
+        held = len(columns[at : at + fit])
+        out += [(key >> (width * (held - 1 - j))) & ((1 << width) - 1) for j in range(held)]
+    return out, counts.astype(np.int64)
 
 
 def _grams(k: int, run: np.ndarray, names: np.ndarray, opened: list[Bitmap]) -> list[np.ndarray]:
     """Columns of names and the count of each k-gram of a run that may matter."""
-    n = len(run) - k + 1
-    if n < 1:
-        return [np.zeros(0, np.int64)] * (k + 1)
+    n = max(0, len(run) - k + 1)
     whole = run[:n] > 0
     for j in range(1, k):
         whole &= run[j : j + n] > 0
@@ -205,48 +232,31 @@ def _grams(k: int, run: np.ndarray, names: np.ndarray, opened: list[Bitmap]) ->
         first, last = (of(0), of(1), of(2)), (of(1), of(2), of(3))
         both = prefix.holds(*first) & suffix.holds(*last)
         at = at[both | best.holds(*first) | best.holds(*last)]
-    word = [run[at + j].astype(np.int64) for j in range(k)]
-    head = word[0] if k < 4 else (word[0] << _WORD_BITS) | word[1]
-    tail = word[-2:] if k == 4 else word[1:]
-    key = head
-    for w in tail[: 3 if k < 4 else 0]:
-        key = (key << _WORD_BITS) | w
-    if k < 4:
-        key, counts = np.unique(key, return_counts=True)
-        mask = (1 << _WORD_BITS) - 1
-        parts = [(key >> (_WORD_BITS * (k - 1 - j))) & mask for j in range(k)]
-    else:
-        low = (tail[0] << _WORD_BITS) | tail[1]
-        order = np.lexsort((low, head))
-        head, low = head[order], low[order]
-        new = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (low[1:] != low[:-1])]) if len(head) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[new, len(head)])
-        mask = (1 << _WORD_BITS) - 1
-        parts = [head[new] >> _WORD_BITS, head[new] & mask, low[new] >> _WORD_BITS, low[new] & mask]
-    return [*(names[p] for p in parts), counts.astype(np.int64)]
+    parts, counts = _counted([run[at + j].astype(np.int64) for j in range(k)], len(names))
+    return [*(names[p] for p in parts), counts]
 
 
-def count_grams(docs: DataFrame, k: int, seed: int, frequent: Bitmap, opened: list[Bitmap]) -> DataFrame:
+def count_grams(chunks: DataFrame, k: int, frequent: Bitmap, opened: list[Bitmap]) -> DataFrame:
     """Names ``w1`` to ``wk`` and ``a`` of k-grams of frequent words, as far as ``opened`` asks for them."""
     columns = [f"w{j}" for j in range(1, k + 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(seed, frequent)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows() -> pa.RecordBatch:
-            found = _grams(k, np.array(runs.run, np.int32), np.array(runs.names, np.int64), opened)
-            runs.start()
+            found = _grams(k, *_merged(held, frequent), opened)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in found], [*columns, "a"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if text.is_valid:
-                    runs.add(lang, text.as_py())
-                    if runs.full:
-                        yield rows()
-        yield rows()
-
-    counted = docs.mapInArrow(count, ", ".join(f"{c} bigint" for c in [*columns, "a"]))
+            for names, run in zip(batch.column(0), batch.column(1)):
+                held.append((np.frombuffer(names.as_buffer(), np.int64), np.frombuffer(run.as_buffer(), np.int32)))
+                if sum(len(r) for _, r in held) > HELD_GRAMS:
+                    yield rows()
+        if held:
+            yield rows()
+
+    counted = chunks.select("names", "run").mapInArrow(count, ", ".join(f"{c} bigint" for c in [*columns, "a"]))
     return counted.groupBy(*columns).agg(F.sum("a").alias("a"))
 
 
@@ -334,7 +344,8 @@ def mine_phrases(
 
     seed = 0
     while True:  # until no two words share a name; nearly always once
-        counted = count_words(docs, seed).groupBy("lang", "name").agg(
+        chunks = work.table(encode(docs, seed), f"chunks{seed}")
+        counted = chunks.select(F.inline("words")).groupBy("lang", "name").agg(
             F.sum("n").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")
         )
         words = work.table(counted.where((F.col("f") >= least) | (F.col("name") == 0)), f"words{seed}")
@@ -347,7 +358,7 @@ def mine_phrases(
     frequent = Bitmap(spark, words.select("name"), words.count())
     enough = F.col("a") >= least
 
-    counted = work.table(count_grams(docs, 2, seed, frequent, []).where(enough), "counted2")
+    counted = work.table(count_grams(chunks, 2, frequent, []).where(enough), "counted2")
     counts.tables[2] = counted
     pairs = counts.scored(counted, 2).join(words.select(F.col("name").alias("w1"), "lang"), "w1")
     pairs = work.table(pairs, "pairs")
@@ -366,13 +377,13 @@ def mine_phrases(
             return Bitmap(spark, rows, rows.count())
 
         level2 = pairs.join(limit, "lang")
-        triples = count_grams(docs, 3, seed, frequent, [opened(level2, 2, "as_prefix"), opened(level2, 2, "as_suffix")])
+        triples = count_grams(chunks, 3, frequent, [opened(level2, 2, "as_prefix"), opened(level2, 2, "as_suffix")])
         counts.tables[3] = work.table(triples.where(enough), f"counted3_{step}")
         level3 = counts.scored(counts.tables[3], 3)
         level3 = level3.join(words.select(F.col("name").alias("w1"), "lang"), "w1").join(limit, "lang")
         level3 = work.table(level3, f"triples{step}")
         found = count_grams(
-            docs, 4, seed, frequent, [opened(level3, 3, "as_prefix"), opened(level3, 3, "as_suffix"), opened(level3, 3, "score")]
+            chunks, 4, frequent, [opened(level3, 3, "as_prefix"), opened(level3, 3, "as_suffix"), opened(level3, 3, "score")]
         )
         counted4 = work.table(found.where(enough), f"counted4_{step}")
         level4 = counts.scored(counted4, 4)

@@ -77,12 +77,41 @@ def test_phrases_need_a_second_round(spark, monkeypatch):
     assert sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in got) == plain_phrases(rows, 8, 5, 80)
 
 
-def test_phrases_of_an_empty_table_and_flushes(spark, monkeypatch):
+def test_phrases_of_an_empty_table(spark):
     assert phrases.mine_phrases(frame(spark, [])).collect() == []
-    monkeypatch.setattr(phrases, "HELD_WORDS", 5)  # the tasks see the patched values: they import by name here
-    runs = phrases._Runs(0, type("All", (), {"holds_one": lambda self, name: True})())
-    runs.add("en", "a b c d e f g h i j k l")
-    assert runs.full
+
+
+def test_chunks_and_merged_runs(monkeypatch):
+    everything = type("All", (), {"holds": lambda self, *names: np.ones(len(names[0]), bool)})()
+    monkeypatch.setattr(phrases, "HELD_WORDS", 5)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["a", "b,", "c", "d.", "e"], k=rng.randint(0, 9))) for _ in range(40)]
+    held, want = [], Counter()
+    for at in range(0, 40, 4):
+        chunk = phrases._Chunk(0)
+        for t in texts[at : at + 4]:
+            chunk.add("en", t)
+            for piece in re.split("[.,]", t):
+                w = piece.split()
+                want.update(tuple(phrases._name("en", x.encode(), 0) for x in w[i : i + 4]) for i in range(len(w) - 3))
+        row = chunk.row().to_pylist()[0]
+        assert {x["word"]: x["n"] for x in row["words"]} == Counter(w for t in texts[at : at + 4] for w in re.split("[., ]+", t) if w) | {
+            None: sum(bool(w) for t in texts[at : at + 4] for w in re.split("[., ]+", t))
+        }
+        held.append((np.frombuffer(row["names"], np.int64), np.frombuffer(row["run"], np.int32)))
+    assert chunk.full
+    *names, counts = phrases._grams(4, *phrases._merged(held, everything), [everything] * 3)
+    assert dict(zip(zip(*[n.tolist() for n in names]), counts.tolist())) == want
+
+
+def test_counted_rows_of_wide_numbers():
+    rng = np.random.default_rng(7)
+    for size in (2, 1 << 15, 1 << 22, 1 << 31):
+        columns = [rng.integers(max(0, size - 3), size, 500) for _ in range(4)]
+        parts, counts = phrases._counted(columns, size)
+        got = dict(zip(zip(*[p.tolist() for p in parts]), counts.tolist()))
+        assert got == Counter(zip(*[c.tolist() for c in columns]))
+        assert [len(x) for x in phrases._counted([c[:0] for c in columns], size)[0]] == [0] * 4
 
 
 def test_phrase_scores_beyond_64_bits(spark):
@@ -98,7 +127,6 @@ def test_bitmap_holds_its_members(spark):
     found = phrases.Bitmap(spark, spark.createDataFrame(names.tolist(), "w1 long, w2 long"), 500)
     assert found.holds(names[:, 0], names[:, 1]).all()
     assert found.holds(names[:, 1], names[:, 0]).mean() < 0.2
-    assert phrases._mix_one(12345) == int(phrases._mix(np.array([12345]))[0])
 
 
 # ---------------------------------------------------------------- search
