@@ -16,7 +16,8 @@
 4. *Large nodes* are split into random blocks, which give a spanning forest and a
    medoid each; the best medoid becomes the node's hub and is compared with every
    member.  A node whose members are all connected by confirmed links is done; of
-   the others every member is branched on, down to ``DEPTH``.  Where a node is still
+   the others every member is branched on, ``INNER_BRANCH`` children each by tokens of
+   ``JOINED`` minwise values, down to ``DEPTH``; children of one component go no further.  Where a node is still
    large and unconnected there, the members outside its largest component are
    compared with all others, block against block, without loss.
 5. *Confirmation* counts the common shingles of the full sets.  Components of the
@@ -55,12 +56,16 @@ SIMILARITY = (85, 100)
 MINS = 128
 TREES = 6
 BRANCH = 2.0
+#: Children of a member of a large node, in expectation, and minwise values that their tokens join.
+INNER_BRANCH, JOINED = 3.0, 3
 SMALL = 200
 DEPTH = 2
 #: Standard deviations that a signature's agreement may lie below the wanted similarity.
 SLACK = 4.5
 #: Size of the bitmaps that spare documents a shuffle.
 FILTER_BITS = 1 << 25
+#: Rows of 16 bytes that are broadcast, once they are counted, in place of a bitmap or an exchange.
+FEW = 1 << 17
 
 SKETCH = "struct<n: bigint, cid: bigint, sig: binary, roots: array<bigint>>"
 FULL_SET = "struct<cid: bigint, shingles: array<bigint>>"
@@ -74,7 +79,7 @@ _WEIGHTS = np.cumprod(np.full(1024, _SEEDS[-1]))
 #: A number per byte: 0 for separators, the same for both cases of an ASCII letter.
 _BYTES = np.array([0 if c in b" \t\n\r\x0b\f" else _SEEDS[-257 + (c + 32 if 65 <= c <= 90 else c)] for c in range(256)], np.uint64)
 _AT = np.arange(MINS, dtype=np.uint64) << _U(32)
-_PICK = _U(int(BRANCH / MINS * 2**32))
+_PICK, _PICK_INNER = (_U(int(b / MINS * 2**32)) for b in (BRANCH, INNER_BRANCH))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -175,14 +180,20 @@ def signatures(column: pa.Array) -> np.ndarray:
 
 
 def _children(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Children of a node that a class enters, by the node's path and the class's signature."""
+    """Children of a node that a class enters, by the node's path and the class's signature.
+
+    A token joins the bytes of ``JOINED`` neighbouring minwise values: unrelated classes share
+    one in 2^24, and classes that have only a passage in common few.
+    """
     for paths, sigs in it:
-        path, values = paths.to_numpy(zero_copy_only=False).view(np.uint64), signatures(sigs)
+        path, values = paths.to_numpy(zero_copy_only=False).view(np.uint64), signatures(sigs).astype(np.uint64)
+        count = MINS - JOINED + 1
+        joined = sum(values[:, j : j + count] << _U(8 * j) for j in range(JOINED))
         out, ends = [np.zeros(0, np.uint64)], [0]
         for start in range(0, len(path), 1000):
-            token = mix(_AT[None, :] | values[start : start + 1000].astype(np.uint64))
+            token = mix(_AT[None, :count] | joined[start : start + 1000])
             draw = mix(token ^ mix(path[start : start + 1000] + _U(1))[:, None])
-            picked = (draw >> _U(32)) < _PICK
+            picked = (draw >> _U(32)) < _PICK_INNER
             out.append(draw[picked])
             ends.extend((ends[-1] + np.cumsum(picked.sum(1))).tolist())
         flat = pa.array(np.concatenate(out).view(np.int64))
@@ -357,11 +368,18 @@ class _Search:
         self.comp: DataFrame | None = None
         self.checked: DataFrame | None = None
         self.sets: DataFrame | None = None
+        #: Confirmed links that the components do not hold yet, and rows of both.
+        self.pending: list[DataFrame] = []
+        self.links = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.k += 1
         return self.work.table(df, f"{self.k}_{name}")
 
+    def counted(self, df: DataFrame, name: str, **more: Column) -> tuple[DataFrame, dict]:
+        self.k += 1
+        return self.work.counted(df, f"{self.k}_{name}", **more)
+
     def labelled(self, nodes: DataFrame) -> DataFrame:
         """Nodes (path, cid) with each class's component so far."""
         if self.comp is None:
@@ -398,52 +416,77 @@ class _Search:
         near = rows.withColumn("agree", F.arrow_udf(_agreement, "int")("sig", "hub_sig")).where(F.col("agree") >= least_agreement(self.similarity))
         return near.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
 
+    def texts_of(self, classes: DataFrame, n: int) -> DataFrame:
+        """Documents of the ``n`` classes (cid): that of the least id, and maybe others."""
+        if n <= FEW:
+            reps = self.classes.join(F.broadcast(classes), "cid").select(F.col("rep").alias("wanted_id"))
+            return self.docs.join(F.broadcast(reps), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        return self.docs.where(id_filter(self.classes.join(classes, "cid").select(F.col("rep").alias("id")))(F.col("id")))
+
     def add_sets(self, pairs: DataFrame) -> None:
         """Full sets of the classes in ``pairs`` that are not there yet."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
-        wanted = self.keep(wanted, "wanted")
-        if wanted.isEmpty():
+        wanted, seen = self.counted(wanted, "wanted")
+        if not seen["n"]:
             return
         # Any document of the class has its set: read the one with the least id again.
-        may_hold = id_filter(self.classes.join(wanted, "cid").select(F.col("rep").alias("id")))
-        texts = self.docs.where(may_hold(F.col("id")))
-        found = texts.select(F.arrow_udf(_full_sets, FULL_SET)("text").alias("s")).select("s.cid", "s.shingles")
-        found = self.keep(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+        texts = self.texts_of(wanted, seen["n"])
+        # Not to be moved below the choice of the texts: the optimizer must not take the function for cheap.
+        full = F.arrow_udf(_full_sets, FULL_SET).asNondeterministic()
+        found = texts.select(full("text").alias("s")).select("s.cid", "s.shingles")
+        own = F.broadcast(wanted) if seen["n"] <= FEW else wanted
+        found = self.keep(found.join(own, "cid").dropDuplicates(["cid"]), "sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
 
-    def sets_of(self, rows: DataFrame, column: str) -> DataFrame:
-        """Full sets of the classes in a column, and of few others, for a join: the rest isn't moved."""
-        return self.sets.where(id_filter(rows.select(F.col(column).alias("id")))(F.col("cid")))
+    def sets_of(self, rows: DataFrame, column: str, n: int | None = None) -> DataFrame:
+        """Full sets of the classes in a column (of ``n`` rows), and maybe few others, for a join: the rest isn't moved."""
+        own = rows.select(F.col(column).alias("id"))
+        if n is not None and n <= FEW:
+            return self.sets.join(F.broadcast(own), F.col("cid") == F.col("id"), "left_semi")
+        return self.sets.where(id_filter(own)(F.col("cid")))
 
     def confirm(self, pairs: DataFrame, name: str) -> None:
-        """Check candidate pairs (a, b) on full sets, and bring the components up to date."""
+        """Check candidate pairs (a, b) on full sets, and note the links among them."""
         pairs = pairs.select("a", "b").distinct()
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = self.keep(pairs, f"{name}_pairs")
-        if pairs.isEmpty():
+        pairs, seen = self.counted(pairs, f"{name}_pairs")
+        n = seen["n"]
+        if not n:
             return
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
         self.add_sets(pairs)
-        left = self.sets_of(pairs, "a").select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-        right = self.sets_of(pairs, "b").select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(left, "a").join(right, "b")
+        right = self.sets_of(pairs, "b", n).select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+        if n <= FEW:  # the sets of one side are joined where they lie
+            left = self.sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")).join(F.broadcast(pairs), "a")
+        else:
+            left = pairs.join(self.sets_of(pairs, "a").select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
+        both = left.join(right, "b")
         common = F.size(F.array_intersect("x", "y")).cast("long")
         num, den = self.similarity
         linked = common * den >= (F.size("x") + F.size("y") - common) * num
         self.link(both.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
 
     def link(self, found: DataFrame, name: str) -> None:
-        """Bring the components up to date with confirmed links (u, v)."""
-        edges = self.keep(found, f"{name}_edges")
-        if edges.isEmpty():
+        """Note confirmed links (u, v)."""
+        edges, seen = self.counted(found, f"{name}_edges")
+        if seen["n"]:
+            self.pending.append(edges)
+            self.links += seen["n"]
+
+    def settle(self) -> None:
+        """Bring the components up to date with the links noted since; the stars so far stand for the links they came from."""
+        if not self.pending:
             return
-        # The stars so far stand for the links they came from.
-        links = edges if self.comp is None else self.comp.unionByName(edges)
+        links = [*([self.comp] if self.comp is not None else []), *self.pending]
+        self.pending = []
+        edges = links[0]
+        for more in links[1:]:
+            edges = edges.unionByName(more)
         self.k += 1
-        self.comp = components(links, self.work, f"{self.k}_{name}_stars")
+        self.comp = components(edges, self.work, f"{self.k}_stars", self.links)
 
     def search(self) -> None:
         """Find the classes and confirm the links between them."""
@@ -460,35 +503,43 @@ class _Search:
             nodes = self.level(nodes, depth)
             if nodes is None:
                 break
+        self.settle()
 
     def level(self, nodes: DataFrame, depth: int) -> DataFrame | None:
         """Compare the nodes of one depth; the nodes of the next, if there are any."""
-        open_now = self.keep(self.open_nodes(nodes), "open")
+        open_now, seen = self.counted(self.open_nodes(nodes), "open", largest=F.max("size"))
+        if not seen["n"]:
+            return None
         small, large = open_now.where(F.col("size") <= SMALL), open_now.where(F.col("size") > SMALL)
-        any_large = not large.isEmpty()
         pairs = self.compare(self.members(nodes, small.select("path"), F.lit(0).cast("long")), forest=True).select("a", "b")
-        if any_large:
+        if seen["largest"] > SMALL:
             blocks = F.ceil(F.col("size") / SMALL)
             rows = self.members(nodes, large, F.pmod(F.xxhash64(F.lit(depth), "cid"), blocks))
             found = self.keep(self.compare(rows, forest=True, medoids=True), "blocks")
             pairs = pairs.unionByName(found.where("a <> b").select("a", "b"))
             pairs = pairs.unionByName(self.hub_pairs(nodes, large, found))
         self.confirm(pairs, f"forest{depth}")
-        still = self.keep(self.open_nodes(nodes), "still_open")
+        self.settle()
+        still, seen = self.counted(self.open_nodes(nodes), "still_open", largest=F.max("size"))
+        if not seen["n"]:
+            return None
         rest = still.where(F.col("size") <= SMALL).select("path")
         rows = self.members(nodes, rest, F.lit(0).cast("long"))
         self.confirm(self.compare(rows, forest=False), f"all{depth}")
-        if not any_large:
-            return None
-        rest = self.keep(self.open_nodes(nodes).where(F.col("size") > SMALL), "large")
-        if rest.isEmpty():
+        if seen["largest"] <= SMALL:
             return None
+        rest = still.where(F.col("size") > SMALL)
         if depth == DEPTH:
+            self.settle()
             self.finish(nodes, rest)
             return None
         inner = self.labelled(nodes).join(rest.select("path"), "path").join(self.classes.select("cid", "sig"), "cid")
-        below = inner.select(F.explode(F.arrow_udf(_children, "array<bigint>")("path", "sig")).alias("path"), "cid")
-        return self.keep(below, "nodes")
+        # The members of a large node are dealt out before they are branched on.
+        inner = inner.repartition("cid", "path").withColumn("to", F.arrow_udf(_children, "array<bigint>")("path", "sig"))
+        below = self.keep(inner.select(F.explode("to").alias("path"), "cid", "comp"), "children")
+        # Only children that can still bring a link.
+        open_below = below.groupBy("path").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        return self.keep(below.join(open_below.select("path"), "path", "left_semi").select("path", "cid"), "nodes")
 
     def finish(self, nodes: DataFrame, large: DataFrame) -> None:
         """Connect what is left of large nodes: members outside a node's largest component against all others.
@@ -534,7 +585,10 @@ class _Search:
         return rooted.join(least, "root").select("cid", F.col("least").alias("rep"), "root")
 
     def result(self) -> DataFrame:
-        out = self.sketched.join(self.groups().drop("root"), "cid", "left")
+        # Rows without words are linked with nothing; as a null key they would all meet in one task.
+        rows = self.sketched.where("cid is not null").join(self.groups().drop("root"), "cid", "left")
+        empty = self.sketched.where("cid is null").withColumn("rep", F.lit(None).cast(rows.schema["rep"].dataType))
+        out = rows.unionByName(empty)
         component = F.coalesce("rep", "id")
         return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
@@ -563,7 +617,7 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     search = _Search(rows, similarity)
     search.search()
-    return search.result().withColumnRenamed("id", id_col)
+    return search.work.last(search.result().withColumnRenamed("id", id_col), "result")
 
 
 def keep_representatives(
@@ -577,9 +631,11 @@ def keep_representatives(
     """
     search = _Search(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), similarity)
     search.search()
+    unsettled = search.unsettled()
+    search.work.drop_but(search.work.names[-1])
     taken = free_name(docs, "dropped_id"), free_name(docs, "class"), free_name(docs, "component"), free_name(docs, "row_tag")
     name, cid, root, tag = taken
-    unsettled = search.unsettled().toDF(name, cid, root)
+    unsettled = unsettled.toDF(name, cid, root)
 
     def open_rows(pairs: DataFrame) -> Column:
         # Only documents that may be among the unsettled ones are moved to find out.

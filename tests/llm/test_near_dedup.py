@@ -1,12 +1,14 @@
 """Near-duplicates against all pairs, with every branch of the search forced on small data."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colweave.llm import near_dedup as N
-from colweave.llm.components import components
+from colweave.llm.components import ONE_TASK, components
 from colweave.plans.workspace import Workspace
 
 
@@ -132,7 +134,6 @@ def test_one_long_word_leaves_the_other_hashes_alone(spark):
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(0, i) for i in range(500, 700)]
-    found = components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark), "test").collect()
     parent = {x: x for e in edges for x in e}
 
     def root(x):
@@ -143,4 +144,22 @@ def test_components(spark):
     for u, v in edges:
         a, b = root(u), root(v)
         parent[max(a, b)] = min(a, b)
-    assert {(r.u, r.v) for r in found} == {(x, root(x)) for x in parent if root(x) != x}
+    links = spark.createDataFrame(edges, "u long, v long")
+    for name, rows in (("one_task", len(edges)), ("rounds", ONE_TASK + 1)):
+        found = components(links, Workspace(spark), name, rows).collect()
+        assert {(r.u, r.v) for r in found} == {(x, root(x)) for x in parent if root(x) != x}
+    assert components(links.limit(0), Workspace(spark), "none", 0).collect() == []
+
+
+def test_unrelated_members_share_hardly_a_child():
+    rng = np.random.default_rng(3)
+    bytes_ = rng.integers(0, 256, (1000, N.MINS)).astype(np.uint8)
+    near = bytes_[0].copy()
+    near[rng.choice(N.MINS, 8, replace=False)] ^= 1
+    paths = pa.array(np.full(1001, 7, np.int64))
+    children = next(N._children(iter([(paths, pa.array([m.tobytes() for m in [*bytes_, near]]))]))).to_pylist()
+    counts = Counter(c for x in children[:1000] for c in x)
+    assert 2700 < counts.total() < 3300 and sum(n > 1 for n in counts.values()) < 5
+    many = next(N._children(iter([(pa.array(np.arange(40)), pa.array([bytes_[0].tobytes()] * 40))]))).to_pylist()
+    same = next(N._children(iter([(pa.array(np.arange(40)), pa.array([near.tobytes()] * 40))]))).to_pylist()
+    assert sum(bool(set(a) & set(b)) for a, b in zip(many, same)) > 25
