@@ -24,7 +24,6 @@ repeated rows, ids and extra columns do not matter.
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 import re
 import struct
@@ -39,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import free_name
 
-#: Remembered pre-tokens per worker and generation; some 200 bytes each.
-CACHE_ENTRIES = 3 << 17
+#: Bytes of remembered pre-tokens and ids per worker and generation (there are two), with what Python adds to an entry.
+CACHE_BYTES = 100 << 20
+_ENTRY_BYTES = 210
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
@@ -168,7 +168,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; ids are remembered and joined as packed 32-bit integers."""
 
-    def __init__(self, vocabulary: Vocabulary, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, vocabulary: Vocabulary, cache_bytes: int = CACHE_BYTES):
         self.whole, self.slots = vocabulary.whole, vocabulary.slots
         self.of_byte = [vocabulary.ranks[bytes([b])] for b in range(256)]
         self.pairs = merge_pairs(vocabulary.ranks)
@@ -176,7 +176,9 @@ class Encoder:
         own = vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(own)
         self.known = vocabulary.pattern == KNOWN_PATTERN
-        self.limit = cache_entries
+        #: Bytes that the young generation of each kind may still take, and may take at most.
+        self.most = {"spaced": cache_bytes * 7 // 8, "bare": cache_bytes // 8}
+        self.room = dict(self.most)
         #: Packed ids of pieces behind a space (without it), and of other pre-tokens; the ``old`` ones fall out next.
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -208,17 +210,26 @@ class Encoder:
             else:
                 ids = self.pack(first)
         if len(piece) <= 64:
-            if len(self.spaced) >= self.limit:
+            if self.full("spaced", piece, ids):
                 self.spaced, self.old_spaced = {}, self.spaced
             self.spaced[piece] = ids
         return ids
 
+    def full(self, kind: str, piece: str, ids: bytes) -> bool:
+        """Whether a generation has to end before it takes another entry, whose bytes are counted."""
+        size = _ENTRY_BYTES + 4 * len(piece) + len(ids)
+        self.room[kind] -= size
+        if self.room[kind] >= 0:
+            return False
+        self.room[kind] = self.most[kind] - size
+        return True
+
     def without_space(self, pre_token: str) -> bytes:
         ids = self.bare.get(pre_token) or self.old_bare.get(pre_token)
         if ids is None:
             ids = self.pack(pre_token)
         if len(pre_token) <= 64:
-            if len(self.bare) >= self.limit // 8:
+            if pre_token not in self.bare and self.full("bare", pre_token, ids):
                 self.bare, self.old_bare = {}, self.bare
             self.bare[pre_token] = ids
         return ids
@@ -261,52 +272,61 @@ def cut(text: str) -> tuple[str, list[str]]:
     return text[: ends[0]] if ends else text, [text[a + 1 : b] for a, b in zip(ends, [*ends[1:], len(text)])]
 
 
-@functools.lru_cache(maxsize=1)
-def _encoder(token: str, shared) -> Encoder:
-    return Encoder(shared.value)
+#: What a worker holds for the tokenizer it last worked for.
+_held: dict[str, object] = {}
 
 
-@functools.lru_cache(maxsize=1)
-def _bytes_by_id(token: str, shared) -> list[bytes | None]:
-    ranks = shared.value.ranks
-    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-    for entry, rank in ranks.items():
-        out[rank] = entry
-    return out
+def _of_worker(key: str, make):
+    """``make()``, kept until another key is asked for; what was kept is let go before something new is made."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 class Tokenizer:
-    """Encoding and decoding of columns with one vocabulary."""
+    """Encoding and decoding of columns with one vocabulary.
+
+    Workers remember pieces in caches of ``cache_bytes`` a generation, and keep them between
+    tasks unless ``keep`` is false: where other work shares the executors, memory goes first.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))
+    def __init__(self, spark: SparkSession, path: str, pattern: str, *, cache_bytes: int = CACHE_BYTES, keep: bool = True):
+        self.cache_bytes, self.keep = cache_bytes, keep
+        ranks = read_ranks(path)
+        self.shared = spark.sparkContext.broadcast(Vocabulary(ranks, pattern))
+        by_id: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for entry, rank in ranks.items():
+            by_id[rank] = entry
+        self.by_id = spark.sparkContext.broadcast(by_id)
         self.token = uuid.uuid4().hex
 
     def encode(self, df: DataFrame, text_col: str = "text", result: str = "ids") -> tuple[DataFrame, str]:
         """The frame with one more column, array<int>, and that column's name."""
-        shared, token = self.shared, self.token
+        shared, token, cache_bytes, keep = self.shared, self.token, self.cache_bytes, self.keep
 
         @F.arrow_udf("array<int>")
         def ids(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encoder = _encoder(token, shared)
+            encoder = _of_worker(f"encode {token}", lambda: Encoder(shared.value, cache_bytes))
             for texts in it:
                 packed = [encoder.packed(t.as_py()) for t in texts]
                 ends = np.cumsum([0, *map(len, packed)]) // 4
                 flat = np.frombuffer(b"".join(packed), "<i4")
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            if not keep:
+                _held.clear()
 
         name = free_name(df, result)
         return df.withColumn(name, ids(F.col(text_col))), name
 
     def decode(self, df: DataFrame, ids_col: str = "ids", result: str = "decoded") -> tuple[DataFrame, str]:
         """The frame with one more column, binary, and that column's name; null ids decode to no bytes."""
-        shared, token = self.shared, self.token
+        entries = self.by_id
 
         @F.arrow_udf("binary")
         def decoded(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            by_id = _bytes_by_id(token, shared)
+            take = entries.value.__getitem__
             for lists in it:
-                take = by_id.__getitem__
                 out = [b"".join(map(take, x.values.to_pylist())) if x.is_valid else b"" for x in lists]
                 yield pa.array(out, pa.binary())
 
