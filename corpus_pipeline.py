@@ -20,6 +20,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Near-duplicates of the pipeline: shared shingles of at least 80 in 100.
 SIMILARITY = (80, 100)
 
+#: Bytes that a worker remembers of the tokenizer's pieces: the other stages run on the same executors.
+CACHE_BYTES = 32 << 20
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -49,7 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: doc_id, n_tokens, ids."""
-    tokenizer = bpe.Tokenizer(spark, *queries.vocabulary())
+    tokenizer = bpe.Tokenizer(spark, *queries.vocabulary(), cache_bytes=CACHE_BYTES, keep=False)
     encoded, ids = tokenizer.encode(docs.select("doc_id", "text"))
     return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("ids"))
 
