@@ -1,4 +1,4 @@
-"""Quality classifier: positive-unlabelled learning with the non-negative risk.
+"""Quality classifier: a positive-unlabelled (PU) classifier with the non-negative risk.
 
 A linear model over shares of hashed byte 3-grams and a few counts of the text is
 fitted by gradient descent on the non-negative unbiased risk with logistic loss:
