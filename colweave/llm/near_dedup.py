@@ -66,6 +66,8 @@ SLACK = 4.5
 FILTER_BITS = 1 << 25
 #: Rows of 16 bytes that are broadcast, once they are counted, in place of a bitmap or an exchange.
 FEW = 1 << 17
+#: Rows, and full sets, that a task of a step on the written tables is given.
+TASK_ROWS, TASK_SETS = 20_000, 2_000
 
 SKETCH = "struct<n: bigint, cid: bigint, sig: binary, roots: array<bigint>>"
 FULL_SET = "struct<cid: bigint, shingles: array<bigint>>"
@@ -218,7 +220,7 @@ def id_filter(ids: DataFrame):
         F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767).cast("long"))).alias("bits")
     )
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in part.toLocalIterator():
+    for r in part.collect():  # at most FILTER_BITS bits
         bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = ids.sparkSession.sparkContext.broadcast(bits)
 
@@ -371,6 +373,16 @@ class _Search:
         #: Confirmed links that the components do not hold yet, and rows of both.
         self.pending: list[DataFrame] = []
         self.links = 0
+        #: Rows of the documents, and of the nodes being looked at.
+        self.n_docs = self.n_nodes = 0
+
+    def tasks(self, rows: int, each: int = TASK_ROWS) -> int:
+        """Tasks for a step on at most ``rows`` rows."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-rows // each))
+
+    def few(self, df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+        """The frame in no more partitions than its last step, on at most ``rows`` rows, has use for."""
+        return df.coalesce(self.tasks(rows, each))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.k += 1
@@ -399,7 +411,7 @@ class _Search:
         rows = self.labelled(nodes).join(chosen, "path")
         rows = rows.join(self.classes.select("cid", "n", "sig"), "cid").withColumn("block", block)
         rows = rows.select("path", "block", "cid", "comp", "n", "sig")
-        return rows.repartition("path", "block").sortWithinPartitions("path", "block")
+        return rows.repartition(self.tasks(self.n_nodes), "path", "block").sortWithinPartitions("path", "block")
 
     def compare(self, rows: DataFrame, forest: bool, medoids: bool = False) -> DataFrame:
         run = _compare(self.similarity, forest, medoids)
@@ -423,12 +435,12 @@ class _Search:
             return self.docs.join(F.broadcast(reps), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
         return self.docs.where(id_filter(self.classes.join(classes, "cid").select(F.col("rep").alias("id")))(F.col("id")))
 
-    def add_sets(self, pairs: DataFrame) -> None:
-        """Full sets of the classes in ``pairs`` that are not there yet."""
+    def add_sets(self, pairs: DataFrame, most: int) -> None:
+        """Full sets of the classes (at most so many) in ``pairs`` that are not there yet."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
-        wanted, seen = self.counted(wanted, "wanted")
+        wanted, seen = self.counted(self.few(wanted, most), "wanted")
         if not seen["n"]:
             return
         # Any document of the class has its set: read the one with the least id again.
@@ -437,7 +449,8 @@ class _Search:
         full = F.arrow_udf(_full_sets, FULL_SET).asNondeterministic()
         found = texts.select(full("text").alias("s")).select("s.cid", "s.shingles")
         own = F.broadcast(wanted) if seen["n"] <= FEW else wanted
-        found = self.keep(found.join(own, "cid").dropDuplicates(["cid"]), "sets")
+        found = found.join(own, "cid").dropDuplicates(["cid"])
+        found = self.keep(self.few(found, seen["n"], TASK_SETS), "sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
 
     def sets_of(self, rows: DataFrame, column: str, n: int | None = None) -> DataFrame:
@@ -447,17 +460,17 @@ class _Search:
             return self.sets.join(F.broadcast(own), F.col("cid") == F.col("id"), "left_semi")
         return self.sets.where(id_filter(own)(F.col("cid")))
 
-    def confirm(self, pairs: DataFrame, name: str) -> None:
-        """Check candidate pairs (a, b) on full sets, and note the links among them."""
+    def confirm(self, pairs: DataFrame, name: str, most: int) -> None:
+        """Check candidate pairs (a, b), at most so many, on full sets, and note the links among them."""
         pairs = pairs.select("a", "b").distinct()
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs, seen = self.counted(pairs, f"{name}_pairs")
+        pairs, seen = self.counted(self.few(pairs, most), f"{name}_pairs")
         n = seen["n"]
         if not n:
             return
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
-        self.add_sets(pairs)
+        self.add_sets(pairs, 2 * n)
         right = self.sets_of(pairs, "b", n).select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
         if n <= FEW:  # the sets of one side are joined where they lie
             left = self.sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")).join(F.broadcast(pairs), "a")
@@ -467,7 +480,8 @@ class _Search:
         common = F.size(F.array_intersect("x", "y")).cast("long")
         num, den = self.similarity
         linked = common * den >= (F.size("x") + F.size("y") - common) * num
-        self.link(both.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+        links = both.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        self.link(self.few(links, n, TASK_SETS), name)
 
     def link(self, found: DataFrame, name: str) -> None:
         """Note confirmed links (u, v)."""
@@ -491,14 +505,17 @@ class _Search:
     def search(self) -> None:
         """Find the classes and confirm the links between them."""
         sketched = self.docs.select("id", F.arrow_udf(_sketches, SKETCH)("text").alias("s")).select("id", "s.*")
-        self.sketched = self.keep(sketched, "sketches")
+        self.sketched, seen = self.counted(sketched, "sketches")
+        self.n_docs = seen["n"]
         first = [F.first(c).alias(c) for c in ("n", "sig", "roots")]
         grouped = self.sketched.where("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), *first)
-        self.classes = self.keep(grouped, "classes")
+        self.classes, seen = self.counted(self.few(grouped, self.n_docs), "classes", roots=F.sum(F.size("roots")))
+        roots = seen["roots"] or 0
         nodes = self.classes.select(F.explode("roots").alias("path"), "cid")
         # Only nodes that two classes share.
         shared = nodes.groupBy("path").agg(F.count("*").alias("c")).where("c > 1").select("path")
-        nodes = self.keep(nodes.join(shared, "path", "left_semi"), "nodes")
+        nodes, seen = self.counted(self.few(nodes.join(shared, "path", "left_semi"), roots), "nodes")
+        self.n_nodes = seen["n"]
         for depth in range(DEPTH + 1):
             nodes = self.level(nodes, depth)
             if nodes is None:
@@ -507,7 +524,7 @@ class _Search:
 
     def level(self, nodes: DataFrame, depth: int) -> DataFrame | None:
         """Compare the nodes of one depth; the nodes of the next, if there are any."""
-        open_now, seen = self.counted(self.open_nodes(nodes), "open", largest=F.max("size"))
+        open_now, seen = self.counted(self.few(self.open_nodes(nodes), self.n_nodes), "open", largest=F.max("size"))
         if not seen["n"]:
             return None
         small, large = open_now.where(F.col("size") <= SMALL), open_now.where(F.col("size") > SMALL)
@@ -518,14 +535,17 @@ class _Search:
             found = self.keep(self.compare(rows, forest=True, medoids=True), "blocks")
             pairs = pairs.unionByName(found.where("a <> b").select("a", "b"))
             pairs = pairs.unionByName(self.hub_pairs(nodes, large, found))
-        self.confirm(pairs, f"forest{depth}")
+        # A forest has fewer pairs than members, and so have the hubs.
+        self.confirm(pairs, f"forest{depth}", 2 * self.n_nodes)
         self.settle()
-        still, seen = self.counted(self.open_nodes(nodes), "still_open", largest=F.max("size"))
+        in_small = F.sum(F.when(F.col("size") <= SMALL, F.col("size") * (F.col("size") - 1) / 2).cast("long"))
+        still = self.few(self.open_nodes(nodes), self.n_nodes)
+        still, seen = self.counted(still, "still_open", largest=F.max("size"), pairs=in_small)
         if not seen["n"]:
             return None
         rest = still.where(F.col("size") <= SMALL).select("path")
         rows = self.members(nodes, rest, F.lit(0).cast("long"))
-        self.confirm(self.compare(rows, forest=False), f"all{depth}")
+        self.confirm(self.compare(rows, forest=False), f"all{depth}", seen["pairs"] or 0)
         if seen["largest"] <= SMALL:
             return None
         rest = still.where(F.col("size") > SMALL)
@@ -535,11 +555,14 @@ class _Search:
             return None
         inner = self.labelled(nodes).join(rest.select("path"), "path").join(self.classes.select("cid", "sig"), "cid")
         # The members of a large node are dealt out before they are branched on.
-        inner = inner.repartition("cid", "path").withColumn("to", F.arrow_udf(_children, "array<bigint>")("path", "sig"))
-        below = self.keep(inner.select(F.explode("to").alias("path"), "cid", "comp"), "children")
+        inner = inner.repartition(self.tasks(self.n_nodes), "cid", "path").withColumn("to", F.arrow_udf(_children, "array<bigint>")("path", "sig"))
+        below, seen = self.counted(inner.select(F.explode("to").alias("path"), "cid", "comp"), "children")
         # Only children that can still bring a link.
         open_below = below.groupBy("path").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        return self.keep(below.join(open_below.select("path"), "path", "left_semi").select("path", "cid"), "nodes")
+        below = below.join(open_below.select("path"), "path", "left_semi").select("path", "cid")
+        below, seen = self.counted(self.few(below, seen["n"]), "nodes")
+        self.n_nodes = seen["n"]
+        return below
 
     def finish(self, nodes: DataFrame, large: DataFrame) -> None:
         """Connect what is left of large nodes: members outside a node's largest component against all others.
@@ -566,7 +589,7 @@ class _Search:
         with_main = F.transform(upto(k), lambda j: own * k + j)
         with_others = F.transform(upto(m), lambda j: m * k + F.least(own, j) * m + F.greatest(own, j))
         blocks = F.when(F.col("in_main"), with_outside).otherwise(F.concat(with_main, with_others))
-        self.add_sets(rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")))
+        self.add_sets(rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")), self.n_nodes)
         members = rows.select("path", blocks.alias("blocks"), "cid", "comp")
         members = members.join(self.classes.select("cid", "n", "sig"), "cid").join(self.sets_of(rows, "cid"), "cid")
         members = members.select("path", F.explode("blocks").alias("block"), "cid", "comp", "n", "sig", "shingles")
@@ -600,10 +623,11 @@ class _Search:
         """
         rows = self.sketched.where("cid is not null").join(self.groups(), "cid")
         pairs = rows.groupBy("id", "cid", "root", F.col("id").eqNullSafe(F.col("rep")).alias("first")).agg(F.count("*").alias("c"))
-        pairs = self.keep(pairs, "pairs")
+        pairs = self.keep(self.few(pairs, self.n_docs), "pairs")
         several = pairs.where("first").groupBy("root").agg(F.sum("c").alias("c")).where("c > 1").select("root")
         tied = pairs.where("first").join(several, "root").select("id", "cid", "root")
-        return self.keep(pairs.where("not first").select("id", "cid", F.lit(None).cast("long").alias("root")).unionByName(tied), "unsettled")
+        both = pairs.where("not first").select("id", "cid", F.lit(None).cast("long").alias("root")).unionByName(tied)
+        return self.keep(self.few(both, 2 * self.n_docs), "unsettled")
 
 
 def near_duplicates(
@@ -617,7 +641,8 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     search = _Search(rows, similarity)
     search.search()
-    return search.work.last(search.result().withColumnRenamed("id", id_col), "result")
+    result = search.few(search.result(), search.n_docs)
+    return search.work.last(result.withColumnRenamed("id", id_col), "result")
 
 
 def keep_representatives(
