@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colweave import PROFILES, audit_cells, get_profile, mapped_pairs, match_columns
 from colweave.functions import containers as C, fuzzy, text as X
 from colweave.operators import align as A, diagnostics as D, scoring as S, tfidf
+from colweave.plans.jobs import run_matching_job, run_threshold_report
 from colweave.plans.workspace import Workspace
+from colweave.sources import results
 
 from . import oracles as O, views as V
 
@@ -319,6 +321,21 @@ register(
     O.with_([O.CUSTOMERS, O.DASH, O.SRC], "select id from dash join src using (id) order by dash.key limit 250"),
 )
 
+
+
+def half_of_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return A.sample_ids(A.align(*sides(spark, sf)), V.dash(spark, sf).count() // 2).select("id")
+
+
+register(
+    "sample_half_of_ids",
+    half_of_ids,
+    O.with_(
+        [O.CUSTOMERS, O.DASH, O.SRC],
+        "select id from dash join src using (id) order by dash.key limit (select count(*) // 2 from dash)",
+    ),
+)
+
 ORDER_COLS = ["o_orderstatus", "o_orderpriority"]
 
 
@@ -336,6 +353,35 @@ MERGED_ORDERS = """(select o_custkey::varchar as id,
 register("merge_duplicates", merge_orders, f"select * from {MERGED_ORDERS.format(where='')}")
 
 
+def merge_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """With a bound on rows an id that the given tables pass, so that ids are merged both ways."""
+    merged = A.merge_duplicates(V.skewed_lines(spark, sf), "owner", ["quantity", "flag"], V.LINE_ORDER, hot_rows=5_000)
+    cell = lambda i: F.col("cells")[i]["raw"]
+    return merged.select(
+        "id",
+        *[F.length(cell(i)).alias(f"{c}_chars") for i, c in enumerate(("quantity", "flag"))],
+        *[F.md5(cell(i)).alias(f"{c}_md5") for i, c in enumerate(("quantity", "flag"))],
+    )
+
+
+def merged_lines(column: str) -> str:
+    return f"coalesce(string_agg({column}, ' | ' order by l_orderkey, l_linenumber, l_partkey, quantity, flag nulls first) filter (trim({column}) <> ''), '')"
+
+
+register(
+    "merge_skewed_lines",
+    merge_lines,
+    f"""with lines as (
+  select case when l_orderkey % 10 < 6 then 'hot' when l_orderkey % 10 = 6 then null when l_orderkey % 10 = 7 then ' '
+      else l_suppkey::varchar end as id, l_orderkey, l_linenumber, l_partkey, l_quantity::int::varchar as quantity,
+    case l_partkey % 7 when 0 then null when 1 then '  ' else ' ' || l_returnflag end as flag
+  from lineitem),
+merged as (select id, {merged_lines('quantity')} as quantity, {merged_lines('flag')} as flag from lines group by 1)
+select id, length(quantity) as quantity_chars, length(flag) as flag_chars, md5(quantity) as quantity_md5, md5(flag) as flag_md5
+from merged""",
+)
+
+
 # ---- gram weights ----------------------------------------------------------------------------
 
 
@@ -430,6 +476,36 @@ for _name in PROFILES:
         )
 
 
+# Two report columns that compete for a source column, and one with too few rows to be matched.
+CROWDED_TABLES = [
+    O.CUSTOMERS,
+    O.DASH.replace("seg as segment", "seg as segment, seg as again, case when c_custkey <= 8 then n_name end as rare"),
+    O.SRC,
+    O.long_cells("dash", [*O.DASH_COLS, "again", "rare"], "dcells", ", key"),
+    O.long_cells("src", O.SRC_COLS, "scells"),
+]
+for _name in ("containment", "unified"):
+    register(
+        f"map_{_name}_competing",
+        lambda spark, sf, p=_name: rounded(
+            match_columns(V.src(spark, sf), V.crowded(spark, sf), "c_custkey", profile=p).mapping
+        ),
+        O.mapping(_name, CROWDED_TABLES),
+    )
+register(
+    "candidates_weighted_strict",
+    lambda spark, sf: rounded(
+        match_columns(V.src(spark, sf), V.dash(spark, sf), "c_custkey", profile="weighted", min_ratio=0.9).candidates
+    ),
+    O.candidates("weighted", hit="score >= 0.9"),
+)
+register(
+    "audit_unknown_column",
+    lambda spark, sf: audit(spark, sf, "containment", [("nowhere", "mkt"), CHOSEN[0], ("segment", "nowhere")]),
+    O.audit("containment", CHOSEN[:1]),
+)
+
+
 def metrics_preview(spark: SparkSession, sf: str) -> DataFrame:
     best = mapped_pairs(match(spark, sf, "unified").mapping)[:1]
     return audit(spark, sf, "unified", best, 200)
@@ -581,3 +657,52 @@ register(
         "from grid left join scored on scored.tag = grid.tag group by grid.tag, threshold",
     ),
 )
+
+
+# ---- jobs: CSV in, result folders out --------------------------------------------------------
+
+
+def job(spark: SparkSession, sf: str, profile: str, fmt: str, **wanted: bool) -> str:
+    """Write both sides as CSV (padded headers, an id name of its own each), match them and return the result folder."""
+    root = Workspace(spark).root
+    report = V.dash(spark, sf).toDF(" report_id ", " segment", "name ", "nation")
+    paths = [results.write_result(df, f"{root}/in", name) for df, name in ((V.src(spark, sf), "source"), (report, "report"))]
+    run_matching_job(
+        spark, *paths, "c_custkey", "report_id", f"{root}/out", profile, fmt=fmt, multiline=False, **wanted
+    )
+    return f"{root}/out"
+
+
+def job_result(name: str, profile: str = "tagged", fmt: str = "csv", **wanted: bool) -> Query:
+    return lambda spark, sf: rounded(results.read_result(spark, job(spark, sf, profile, fmt, **wanted), name, fmt))
+
+
+def job_report(name: str, fmt: str, **wanted: bool) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        out = job(spark, sf, "tagged", fmt, **wanted)
+        run_threshold_report(spark, out, fmt=fmt)
+        return spark.read.parquet(results.result_path(out, name, fmt))
+
+    return query
+
+
+# What the tagged mapping chooses.
+JOB_PAIRS = [("segment", "mkt"), ("name", "label"), ("nation", "mkt_wrapped")]
+register("job_mapping", job_result(results.MAPPING), O.mapping("tagged"))
+register("job_candidates", job_result(results.CANDIDATES), O.candidates("tagged"))
+register("job_audit", job_result(results.AUDIT, audit=True), O.audit("tagged", JOB_PAIRS))
+register(
+    "job_preview",
+    job_result(results.PREVIEW, "unified", "parquet", preview_metrics=True),
+    # Ids read from CSV are texts, and ordered as such.
+    O.audit("unified", CHOSEN[:1], 200).replace("order by key)", "order by id)"),
+)
+register("job_tag_summary", job_report(results.TAG_SUMMARY, "parquet"), ORACLES["tag_summary"])
+_chosen = ", ".join(f"('{d}', '{s}')" for d, s in JOB_PAIRS)
+register(
+    "job_threshold_sweep",
+    job_report(results.SWEEP, "parquet", audit=True),
+    ORACLES["threshold_sweep"].replace(
+        "from grid left join scored on", f"from grid left join (select * from scored where (dashboard_col, source_col) in ({_chosen})) as scored on"
+    ),
+)

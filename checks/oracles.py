@@ -438,7 +438,8 @@ def hit(profile: str) -> str:
     return "score >= 0.7"
 
 
-def statistics(profile: str) -> list[str]:
+def statistics(profile: str, least: str | None = None) -> list[str]:
+    is_hit = least or hit(profile)
     if profile in ("containment", "unified", "rowwise"):
         metrics = METRICS if profile == "unified" else ["score"]
         means = ", ".join(f"coalesce(avg({m}), 0.0) as {m}" for m in metrics)
@@ -453,13 +454,13 @@ def statistics(profile: str) -> list[str]:
     tags = ""
     if profile in ("fastpath", "tagged"):
         tags = "".join(
-            f", count(*) filter (where {hit(profile)} and tag = '{t}') as {t}_hits"
+            f", count(*) filter (where {is_hit} and tag = '{t}') as {t}_hits"
             for t in ("direct", "list", "listlike", "similarity")
         )
     return [
         f"""stats as (
-  select d_ord, s_ord, dashboard_col, source_col, count(*) filter (where {hit(profile)}) as hits, count(*) as total_pairs,
-    sum(score) filter (where {hit(profile)}) as weighted_score, max(score) filter (where {hit(profile)}) as max_score{tags}
+  select d_ord, s_ord, dashboard_col, source_col, count(*) filter (where {is_hit}) as hits, count(*) as total_pairs,
+    sum(score) filter (where {is_hit}) as weighted_score, max(score) filter (where {is_hit}) as max_score{tags}
   from scored group by d_ord, s_ord, dashboard_col, source_col),
 cand as (
   select *, hits::double / total_pairs as hit_rate, weighted_score / hits as avg_score,
@@ -468,11 +469,11 @@ cand as (
     ]
 
 
-def candidates(profile: str, tables: list[str] | None = None) -> str:
+def candidates(profile: str, tables: list[str] | None = None, hit: str | None = None) -> str:
     tags = [f"{t}_hits" for t in ("direct", "list", "listlike", "similarity")] if profile in ("fastpath", "tagged") else []
     floats = ["hit_rate", "avg_score", "max_score", "weighted_score", "score_pct"]
     cols = ["dashboard_col", "source_col", "hits", "total_pairs", *[r6(f) for f in floats], *tags]
-    return with_(scored(profile, tables) + statistics(profile), f"select {', '.join(cols)} from cand")
+    return with_(scored(profile, tables) + statistics(profile, hit), f"select {', '.join(cols)} from cand")
 
 
 def mapping(profile: str, tables: list[str] | None = None) -> str:

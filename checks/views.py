@@ -46,6 +46,23 @@ def src(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report side with two columns after the same source column, and one that is filled in six rows."""
+    d = dash(spark, sf_dir)
+    return d.withColumns({"again": F.col("segment"), "rare": F.when(F.col("c_custkey") <= 8, F.col("nation"))})
+
+
+def skewed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of which one id owns six in ten, and others have none or a blank; cells with nulls and blanks."""
+    digit = F.col("l_orderkey") % 10
+    owner = F.when(digit < 6, "hot").when(digit == 6, F.lit(None)).when(digit == 7, " ").otherwise(F.col("l_suppkey").cast("string"))
+    rest = F.col("l_partkey") % 7
+    flag = F.when(rest == 0, F.lit(None)).when(rest == 1, "  ").otherwise(F.concat(F.lit(" "), F.col("l_returnflag")))
+    return table(spark, sf_dir, "lineitem").select(
+        owner.alias("owner"), *LINE_ORDER, F.col("l_quantity").cast("int").alias("quantity"), flag.alias("flag")
+    )
+
+
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names beside themselves with the third character missing."""
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", mistyped("p_name").alias("p_name_typo"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank
-from ..plans.workspace import task_count
+from ..plans.workspace import Workspace, task_count
 
 MERGE_GLUE = " | "  # fixed value
 #: Rows per id from which its merge is split over tasks.
@@ -170,8 +170,30 @@ def has_common_ids(source: DataFrame, dash: DataFrame) -> bool:
 
 
 def sample_ids(aligned: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` aligned rows in id order."""
-    return aligned.orderBy(F.col("key").asc_nulls_last()).limit(n)
+    """The first ``n`` aligned rows in id order: those up to the ``n``-th id.
+
+    That id is found by offsets: the ids alone are dealt out by ranges, the driver adds
+    up one count per range, and one range is looked into.  No task holds more than its range.
+    """
+    if n <= 0:
+        return aligned.limit(0)
+    names = ["last", "key", "id"]  # rows without an id come last
+    place = [F.col("key").isNull().alias("last"), F.col("key"), F.col("id")]
+    work = Workspace(aligned.sparkSession)
+    ranged = aligned.select(*place).repartitionByRange(task_count(aligned), *names)
+    ids = work.table(ranged.withColumn("part", F.spark_partition_id()), "ids")
+    before, cut = 0, None
+    for part, rows in sorted(ids.groupBy("part").count().collect()):
+        if before + rows >= n:
+            first = ids.where(F.col("part") == part).orderBy(*names).limit(n - before)
+            cut = first.agg(F.max(F.struct(*names))).first()[0]
+            break
+        before += rows
+    work.drop()
+    if cut is None:
+        return aligned
+    nth = [F.lit(v).cast(ids.schema[c].dataType).alias(c) for c, v in zip(names, cut)]
+    return aligned.where(F.struct(*place) <= F.struct(*nth))
 
 
 def expand_pairs(aligned: DataFrame, *keep: str) -> DataFrame:
