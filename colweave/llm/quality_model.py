@@ -7,14 +7,16 @@ which that part falls below 0 steps back on it.  P are trusted positives (label
 1), U is unlabelled web text, and the class prior is estimated as the share of
 label 1 among the labelled documents.  The score is the model's probability.
 
-Scale: the fit sees bounded samples, at most ``POSITIVES`` labelled documents and
-about ``UNLABELLED`` others (by id hash), as vectors of fixed length in one task;
-the prior counts all labels.  Scoring is one pass without a shuffle.
+Scale: the fit sees bounded samples, at most ``POSITIVES`` labelled ids that have a
+document and about ``UNLABELLED`` different documents (both by id hash), as vectors
+of fixed length in one task; the prior counts all labels.  Only ids are shuffled to
+choose them.  Scoring is one pass without a shuffle.
 
 Edge cases: null and empty texts have a vector of zeros and are scored like any
 other; null labels and ids are left out of the training; a document with several
 labels counts with the least; without positives or unlabelled text every score is
-the prior (0.5 without any label); repeated rows count as often as they come.
+the prior (0.5 without any label); repeated rows count as often as they come, as one
+row of the sample with their number as its weight.
 """
 
 from __future__ import annotations
@@ -84,24 +86,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def risks(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+def risks(zp: np.ndarray, zu: np.ndarray, prior: float, wp=None, wu=None) -> tuple[float, float]:
     """Risk of the positives as positives, and the unlabelled text's negative risk less the positives' part."""
-    loss = lambda z: np.logaddexp(0, -z).mean()
-    return prior * loss(zp), loss(-zu) - prior * loss(-zp)
+    loss = lambda z, w: np.average(np.logaddexp(0, -z), weights=w)
+    return prior * loss(zp, wp), loss(-zu, wu) - prior * loss(-zp, wp)
 
 
-def minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS) -> Model:
-    """Minimise the non-negative risk over positives ``p`` and unlabelled rows ``u`` (Adam, whole samples)."""
-    mean, scale = u.mean(0), u.std(0) + 1e-3
+def minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS, wp=None, wu=None) -> Model:
+    """Minimise the non-negative risk over positives ``p`` and unlabelled rows ``u`` (Adam, whole samples).
+
+    ``wp`` and ``wu`` weigh the rows; without them all count alike.
+    """
+    wp, wu = (np.ones(len(x)) if w is None else w for x, w in ((p, wp), (u, wu)))
+    wp, wu = wp / wp.sum(), wu / wu.sum()
+    mean = wu @ u
+    scale = np.sqrt(wu @ (u - mean) ** 2) + 1e-3
     p, u = (p - mean) / scale, (u - mean) / scale
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         zp, zu = p @ w + b, u @ w + b
         sp, su = _sigmoid(zp), _sigmoid(zu)
-        positive = prior * (sp - 1) / len(zp)
-        negative_p, negative_u = -prior * sp / len(zp), su / len(zu)
-        if risks(zp, zu, prior)[1] >= 0:
+        positive = prior * (sp - 1) * wp
+        negative_p, negative_u = -prior * sp * wp, su * wu
+        if risks(zp, zu, prior, wp, wu)[1] >= 0:
             gp, gu = positive + negative_p, negative_u
         else:
             gp, gu = -negative_p, -negative_u
@@ -119,8 +127,10 @@ def fit(train: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     prior = min(max(total["good"] / total["n"], 0.01), 0.99) if total["n"] else 0.5
     constant = Model(np.zeros(N_COUNTS + (1 << BITS)), float(np.log(prior / (1 - prior))))
     order = F.xxhash64(F.lit(23), "doc_id")
-    good = marks.where("q = 1").orderBy(order, "doc_id").limit(POSITIVES).select(F.col("doc_id").alias("good_id"))
     docs = train.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    there = docs.select(F.col("id").alias("doc_id")).distinct()
+    good = marks.where("q = 1").join(there, "doc_id", "left_semi")
+    good = good.orderBy(order, "doc_id").limit(POSITIVES).select(F.col("doc_id").alias("good_id"))
     n = docs.count()
     if not n or not total["good"]:
         return constant
@@ -137,15 +147,18 @@ def fit(train: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         F.col("good_id").isNotNull().alias("p"),
         (F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(1 << 30)) < share).alias("u"),
     )
-    sample = flagged.where("p or u").select("id", "p", "u", vectors("text").alias("x"))
+    # Repeated rows come all or none: they are one row with a weight, combined before the shuffle.
+    tag = F.xxhash64(F.lit(31), "text").alias("tag")
+    sample = flagged.where("p or u").groupBy("id", "p", "u", tag).agg(F.min("text").alias("text"), F.count("*").alias("weight"))
+    sample = sample.select("id", "tag", "p", "u", "weight", vectors("text").alias("x"))
 
     def minimise_all(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["id", "x"], kind="stable")
-        x = np.array([np.frombuffer(b, np.float32) for b in part["x"]])
-        p, u = x[part["p"].to_numpy(bool)], x[part["u"].to_numpy(bool)]
-        if not len(p) or not len(u):
+        part = part.sort_values(["id", "tag"], kind="stable")
+        x, weight = np.array([np.frombuffer(b, np.float32) for b in part["x"]]), part["weight"].to_numpy(float)
+        p, u = part["p"].to_numpy(bool), part["u"].to_numpy(bool)
+        if not p.any() or not u.any():
             return pd.DataFrame({"w": [], "b": []})
-        model = minimise(p, u, prior)
+        model = minimise(x[p], x[u], prior, wp=weight[p], wu=weight[u])
         return pd.DataFrame({"w": [model.weights.tobytes()], "b": [model.bias]})
 
     # One task, as the sample is bounded.
