@@ -24,8 +24,9 @@ repeated rows, ids and extra columns do not matter.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import heapq
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -106,49 +107,68 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
-    """Rank of every entry by each pair of entries it is made of, as ``left << 20 | right``."""
-    out = {}
+#: A heap's numbers hold a rank above a position of so many bits: small numbers for all but very long pre-tokens.
+_SHORT, _LONG = 13, 32
+_NONE: dict[int, int] = {}
+
+
+def merge_pairs(ranks: dict[bytes, int]) -> list[dict[int, int]]:
+    """For every entry as the left part: the ranks of the entries it makes, by the right part."""
+    out = [_NONE] * (max(ranks.values()) + 1)
     for entry, rank in ranks.items():
         for k in range(1, len(entry)):
             left, right = ranks.get(entry[:k]), ranks.get(entry[k:])
             if left is not None and right is not None:
-                out[(left << 20) | right] = rank
+                if out[left] is _NONE:
+                    out[left] = {}
+                out[left][right] = rank
     return out
 
 
-def merge_bytes(piece: bytes, of_byte: list[int], pairs: dict[int, int]) -> list[int]:
+def byte_pairs(of_byte: list[int], pairs: list[dict[int, int]]) -> list[list[int]]:
+    """Rank of every two bytes, -1 for none."""
+    return [[pairs[a].get(b, -1) for b in of_byte] for a in of_byte]
+
+
+def merge_bytes(piece: bytes, of_byte: list[int], starts: list[list[int]], pairs: list[dict[int, int]]) -> list[int]:
     """Ids of a pre-token: lowest rank first, leftmost among equals."""
-    get, push, pop = pairs.get, heapq.heappush, heapq.heappop
+    push, pop, swap = heapq.heappush, heapq.heappop, heapq.heapreplace
     ids = [of_byte[b] for b in piece]  # -1 for a part merged into the one before
     n = len(ids)
-    after = list(range(1, n + 1))  # start of the next part; the last part's is n
-    before = list(range(-1, n - 1))
+    bits = _SHORT if n >> _SHORT == 0 else _LONG
+    low = (1 << bits) - 1
     #: Rank of each part with its next one; -1 for none, and for parts merged away.
-    pair = [get((a << 20) | b, -1) for a, b in zip(ids, ids[1:])]
-    pair.append(-1)
-    heap = [(r << 32) | i for i, r in enumerate(pair) if r >= 0]
+    pair = [starts[a][b] for a, b in zip(piece, piece[1:])]
+    heap = [(r << bits) | i for i, r in enumerate(pair) if r >= 0]
+    if not heap:
+        return ids
     heapq.heapify(heap)
+    pair.append(-1)
+    after = list(range(1, n + 1))  # start of the next part; the last part's is n
+    before = list(range(-1, n - 1))
     while heap:
-        top = pop(heap)
-        i, rank = top & 0xFFFFFFFF, top >> 32
+        top = heap[0]
+        i, rank = top & low, top >> bits
         if pair[i] != rank:
-            continue  # a part of this pair has been merged meanwhile
+            pop(heap)  # a part of this pair has been merged meanwhile
+            continue
         mid = after[i]
         end = after[i] = after[mid]
         ids[i], ids[mid], pair[mid] = rank, -1, -1
+        r = -1
         if end < n:
             before[end] = i
-            r = pair[i] = get((rank << 20) | ids[end], -1)
-            if r >= 0:
-                push(heap, (r << 32) | i)
+            r = pairs[rank].get(ids[end], -1)
+        pair[i] = r
+        if r >= 0:
+            swap(heap, (r << bits) | i)
         else:
-            pair[i] = -1
+            pop(heap)
         left = before[i]
         if left >= 0:
-            r = pair[left] = get((ids[left] << 20) | rank, -1)
+            r = pair[left] = pairs[ids[left]].get(rank, -1)
             if r >= 0:
-                push(heap, (r << 32) | left)
+                push(heap, (r << bits) | left)
     return [i for i in ids if i >= 0]
 
 
@@ -172,6 +192,7 @@ class Encoder:
         self.whole, self.slots = vocabulary.whole, vocabulary.slots
         self.of_byte = [vocabulary.ranks[bytes([b])] for b in range(256)]
         self.pairs = merge_pairs(vocabulary.ranks)
+        self.starts = byte_pairs(self.of_byte, self.pairs)
         # The merge library's \s is Unicode White_Space.
         own = vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(own)
@@ -186,14 +207,17 @@ class Encoder:
         self.old_bare: dict[str, bytes] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
-        if self.known and (simple := _SIMPLE.fullmatch(text)):
-            return [t for t in simple.groups() if t]
+        if self.known:
+            word = text.rstrip(_MARKS)
+            letters = word[1:] if word[:1] == " " else word
+            if letters.isascii() and letters.isalpha():
+                return [word] if len(word) == len(text) else [word, text[len(word) :]]
         return self.pattern.findall(text)
 
     def pre_token(self, text: str) -> list[int]:
         piece = text.encode()
         key, rank = self.slots[self.whole.slot(piece)]
-        return [rank] if key == piece else merge_bytes(piece, self.of_byte, self.pairs)
+        return [rank] if key == piece else merge_bytes(piece, self.of_byte, self.starts, self.pairs)
 
     def pack(self, pre_token: str) -> bytes:
         ids = self.pre_token(pre_token)
@@ -253,10 +277,13 @@ class Encoder:
 
 # Fixed value: the pattern for which the two short cuts below hold.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A Latin word and marks behind it: one or two pre-tokens.
-_SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?*$%&|#)]*)")
-#: A space beside white space is no cut (this \s holds all of White_Space and a little more).
-_EDGE = re.compile(r"\s | \s")
+#: Behind a word of ASCII letters these make one pre-token.
+_MARKS = ".,;:!?*$%&|#)"
+# White_Space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A space beside white space is no cut.
+_EDGES = [e for c in _WHITE for e in (c + " ", " " + c)]
+_ASCII_EDGES = [e for e in _EDGES if e.isascii()]
 _CUT = regex.compile(r"(?<=\P{White_Space})(?=\x20\P{White_Space})")
 
 
@@ -265,7 +292,8 @@ def cut(text: str) -> tuple[str, list[str]]:
 
     Such a space always starts a pre-token, and no pre-token looks further back.
     """
-    if text[0] != " " and text[-1] != " " and not _EDGE.search(text):
+    edges = _ASCII_EDGES if text.isascii() else _EDGES
+    if text[0] != " " and text[-1] != " " and not any(e in text for e in edges):
         first, *rest = text.split(" ")
         return first, rest
     ends = [m.start() for m in _CUT.finditer(text)]
@@ -284,6 +312,18 @@ def _of_worker(key: str, make):
     return _held[key]
 
 
+@contextlib.contextmanager
+def _no_cycles() -> Iterator[None]:
+    """The collector of reference cycles rests: encoding makes none, but would have the caches looked through."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Tokenizer:
     """Encoding and decoding of columns with one vocabulary.
 
@@ -309,7 +349,8 @@ class Tokenizer:
         def ids(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _of_worker(f"encode {token}", lambda: Encoder(shared.value, cache_bytes))
             for texts in it:
-                packed = [encoder.packed(t.as_py()) for t in texts]
+                with _no_cycles():
+                    packed = [encoder.packed(t) for t in texts.to_pylist()]
                 ends = np.cumsum([0, *map(len, packed)]) // 4
                 flat = np.frombuffer(b"".join(packed), "<i4")
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
@@ -327,7 +368,9 @@ class Tokenizer:
         def decoded(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
             take = entries.value.__getitem__
             for lists in it:
-                out = [b"".join(map(take, x.values.to_pylist())) if x.is_valid else b"" for x in lists]
+                ids, at = lists.values.to_numpy(), lists.offsets.to_pylist()
+                known = lists.is_valid().to_pylist()
+                out = [b"".join(map(take, ids[a:b].tolist())) if k else b"" for a, b, k in zip(at, at[1:], known)]
                 yield pa.array(out, pa.binary())
 
         name = free_name(df, result)
