@@ -8,10 +8,11 @@ pattern holds lets the search jump m - 1 words, a block that ends a pattern has
 shift 0 and selects a bucket of patterns by their last block, narrowed by their
 first word; comparison of the words themselves confirms.
 
-Documents stay where they are: no shuffle.  The benchmark goes to the executors
-in blocks of at most ``BLOCK_BYTES`` of text (one item is never split), so what
-is broadcast at once has that bound however large the benchmark is; between
-blocks the documents' hits so far are written to the checkpoint folder.
+Documents stay where they are: no shuffle, one pass.  The benchmark goes to the
+executors in broadcasts of about ``BLOCK_BYTES`` of text each (items are dealt by
+hash, one item is never split, equal rows are one).  A worker holds the tables of
+one broadcast at a time, however large the benchmark is: it gathers documents of
+``HELD_BYTES`` and searches them for one block after the other.
 
 Edge cases: null, empty and word-free texts have no words and no hits; an item
 without words has no window; an item without an id marks words but is not
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import math
+import pickle
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +36,8 @@ from .common import alnum_words, free_name
 WINDOW = 10
 #: Benchmark text per broadcast; its windows take some hundred times as many bytes in a worker.
 BLOCK_BYTES = 2 << 20
+#: Document text that a worker gathers before it goes through several blocks.
+HELD_BYTES = 32 << 20
 
 HITS = "struct<n_words: bigint, spans: array<struct<start: bigint, stop: bigint>>, items: array<string>>"
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -87,8 +91,8 @@ def compile_patterns(benchmark: Iterable[tuple[str | None, str | None]], window:
 
 
 @functools.lru_cache(maxsize=1)
-def _compiled(token: str, shared, window: int) -> list[Patterns]:
-    return compile_patterns(shared.value, window)
+def _compiled(token: str, packed, window: int) -> list[Patterns]:
+    return compile_patterns(pickle.loads(packed.value), window)
 
 
 def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,6 +106,19 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def gathered(batches: Iterable[pa.Array], most: int) -> Iterator[list[pa.Array]]:
+    """Batches in runs of ``most`` bytes and more; the last run may be shorter."""
+    run, size = [], 0
+    for batch in batches:
+        run.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def find_hits(text: str | None, compiled: list[Patterns], before: dict | None = None) -> dict:
     """Words, hit spans (in words) and items of one text, added to what earlier blocks found."""
     words = tuple(alnum_words(text))
@@ -129,6 +146,7 @@ def benchmark_hits(
     *,
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    held_bytes: int = HELD_BYTES,
     result: str = "hits",
 ) -> tuple[DataFrame, str]:
     """The documents with one more column of type ``HITS``, and that column's name.
@@ -139,24 +157,32 @@ def benchmark_hits(
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    work = Workspace(spark)
+    bytes_of = lambda df: df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, work = 1, None
+    if bytes_of(items) > block_bytes:
+        work = Workspace(spark)
+        items = work.table(items.distinct(), "items")
+        blocks = max(1, math.ceil(bytes_of(items) / block_bytes))
+
+    def block(k: int):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
+        return spark.sparkContext.broadcast(pickle.dumps([tuple(r) for r in rows]))
+
+    shared = [(uuid.uuid4().hex, block(k)) for k in range(blocks)]
+    if work is not None:
+        work.drop()
+
+    @F.arrow_udf(HITS)
+    def search(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turn = list(shared)
+        for run in gathered(it, held_bytes) if len(turn) > 1 else ([batch] for batch in it):
+            found: list[list] = [[None] * len(batch) for batch in run]
+            for token, packed in turn:
+                compiled = _compiled(token, packed, window)
+                for hits, batch in zip(found, run):
+                    hits[:] = [find_hits(t.as_py(), compiled, h) for t, h in zip(batch, hits)]
+            turn.reverse()  # the next run begins with the tables at hand
+            yield from (pa.array(hits, _HITS) for hits in found)
+
     name = free_name(docs, result)
-    out = docs
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        shared, token = spark.sparkContext.broadcast([tuple(r) for r in part.collect()]), uuid.uuid4().hex
-
-        @F.arrow_udf(HITS)
-        def search(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            compiled = _compiled(token, shared, window)
-            for texts, before in it:
-                found = [find_hits(t.as_py(), compiled, b.as_py()) for t, b in zip(texts, before)]
-                yield pa.array(found, _HITS)
-
-        found = search(F.col(text_col), F.col(name) if k else F.lit(None).cast(HITS))
-        out = out.withColumn(name, found)
-        if k < blocks - 1:
-            out = work.table(out, f"hits{k}")
-    return out, name
+    return docs.withColumn(name, search(F.col(text_col))), name
