@@ -9,7 +9,8 @@ the entering and the leaving one change by one, and the sum of c * log2(c), from
 which the entropy follows, changes by the two differences.  A candidate whose
 greatest window entropy reaches the class's bound is a span of kind ``entropy``.
 The ``//`` of a URL's head is no part of a candidate, and strings of the allow-list
-do not count: what is left of a candidate without them has to be a secret by itself.
+do not count: one of the pieces left between them has to be a secret by itself.
+A piece with a slash whose parts all read like words or numbers is a path or link, no secret.
 Entropy spans that overlap a base span are kept or left out, as the caller chooses;
 those inside a base span say nothing new and are always left out.
 
@@ -65,6 +66,11 @@ CLASSES = (
     CharClass(_DIGITS + _LOWER, 24, 3.5, False),
     CharClass(_DIGITS + _LOWER.upper(), 24, 3.5, False),
 )
+#: Words, capitals and numbers that a part of a path is made of.
+_WORDS = "[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+#: Parts of fewer characters tell nothing; longer ones may hold one word, capital run or number more than one in four characters.
+PATH_PART = 5
+PATH_CHARS = 4
 #: Parts of examples; what else a candidate holds decides.
 ALLOWED = ("EXAMPLE", "example", "0123456789", "abcdefghij", "ABCDEFGHIJ", "placeholder")
 
@@ -125,15 +131,27 @@ def window_entropy(candidate: Column, characters: str, window: int) -> Column:
     return _bound(index, lambda x: F.aggregate(places, zero, lambda s, i: step(x, s, i), lambda s: s["best"]))
 
 
+def _is_path(run: Column) -> Column:
+    """Whether a run has a slash and every part between its marks reads like words and numbers."""
+
+    def worded(part: Column) -> Column:
+        words = F.length(F.regexp_replace(part, _WORDS, "x"))
+        return (F.length(part) < PATH_PART) | ((words - 1) * PATH_CHARS <= F.length(part))
+
+    return run.contains("/") & F.forall(F.split(run, "[/_+-]+"), worded)
+
+
 def _entropy_spans(text: Column, kind: CharClass) -> Column:
     def looks(rest: Column) -> Column:
         fits = (F.length(rest) >= kind.window) & rest.rlike("[0-9]") & rest.rlike("[A-Za-z]")
         if kind.mixed_case:
             fits = fits & rest.rlike("[a-z]") & rest.rlike("[A-Z]")
+        if "/" in kind.characters:
+            fits = fits & ~_is_path(rest)
         return F.when(fits, window_entropy(rest, kind.characters, kind.window) >= kind.bits).otherwise(False)
 
     def secret(found: Column, _: Column) -> Column:
-        return _bound(F.regexp_replace(found, "|".join(ALLOWED), ""), looks)
+        return F.exists(F.split(found, "|".join(ALLOWED)), looks)
 
     return _spans(text, kind.pattern, KINDS.index("entropy"), secret)
 
