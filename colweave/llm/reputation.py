@@ -2,8 +2,10 @@
 
 A page is a bad outcome if its label says quality 0 (several labels: the least).
 The shares of bad pages are shrunk level by level with beta-binomial priors: a
-suffix (last host label) towards the rate of all labelled pages, a registered
-domain (last two labels) towards its suffix, a host towards its domain.  The
+suffix towards the rate of all labelled pages, a registered domain towards its
+suffix, a host towards its domain.  A suffix is one of ``SUFFIXES``, else the last
+label; a registered domain is a suffix and the label before it.  Ports and final
+dots do not matter to either, and an IP address is a domain as a whole.  The
 strength of each level's prior is estimated from all groups of that level by the
 method of moments, within ``STRENGTH``.  A page without a fitting rule is blocked
 if the lower bound of its host's posterior (mean less ``Z`` standard deviations)
@@ -53,6 +55,21 @@ RULES = (
 )
 
 
+# Public suffixes of two labels under which names are registered.
+SUFFIXES = (
+    "co.at", "or.at", "com.au", "net.au", "org.au", "edu.au", "gov.au", "com.br", "net.br", "org.br", "gov.br",
+    "com.cn", "net.cn", "org.cn", "edu.cn", "gov.cn", "com.co", "com.eg", "com.es", "com.hk", "org.hk", "co.hu",
+    "co.id", "or.id", "go.id", "ac.id", "co.il", "org.il", "ac.il", "co.in", "net.in", "org.in", "ac.in", "gov.in",
+    "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "co.ke", "co.kr", "or.kr", "ac.kr", "go.kr", "com.mx", "org.mx",
+    "gob.mx", "com.my", "com.ng", "co.nz", "net.nz", "org.nz", "ac.nz", "govt.nz", "com.pe", "com.ph", "com.pk",
+    "com.pl", "net.pl", "org.pl", "com.pt", "com.sa", "com.sg", "edu.sg", "co.th", "ac.th", "com.tr", "org.tr",
+    "edu.tr", "com.tw", "org.tw", "edu.tw", "com.ua", "co.uk", "org.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk",
+    "ac.uk", "gov.uk", "nhs.uk", "sch.uk", "com.ve", "com.vn", "co.za", "org.za", "ac.za", "gov.za",
+    "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app",
+    "wordpress.com",
+)
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url."""
     at = F.locate("://", url)
@@ -77,8 +94,15 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
     return name, verdict
 
 
-def last_labels(host: Column, n: int) -> Column:
-    return F.substring_index(host, ".", -n)
+def site(host: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host; an address is its own domain, under the empty suffix."""
+    name = F.regexp_replace(host, r"\.*(:[0-9]*)?$", "")
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$") | name.startswith("[")
+    two = F.substring_index(name, ".", -2)
+    wide = two.isin(*SUFFIXES)
+    domain = F.when(address, name).when(wide, F.substring_index(name, ".", -3)).otherwise(two)
+    suffix = F.when(address, F.lit("")).when(wide, two).otherwise(F.substring_index(name, ".", -1))
+    return domain, suffix
 
 
 def strength(groups: DataFrame) -> Column:
@@ -99,7 +123,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     ``outcomes`` has a row per page: host, and bad (0 or 1, null without a label).
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.select("host", last_labels(F.col("host"), 2).alias("domain"), last_labels(F.col("host"), 1).alias("suffix"), "n", "bad")
+    domain, suffix = site(F.col("host"))
+    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
