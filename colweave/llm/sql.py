@@ -89,7 +89,7 @@ p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UP}',
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
 lab as (select doc_id, min(quality) as q from labels group by 1),
 o as (select host, case q when 0 then 1 when 1 then 0 end as bad from p left join lab on page_id = doc_id),
-h as (select host, regexp_replace(host, '\\.*(:[0-9]*)?$', '') as name, string_split(name, '.') as parts,
+h as (select host, regexp_replace(host, '\.*(:[0-9]*)?$', '') as name, string_split(name, '.') as parts,
   array_to_string(parts[-2:], '.') as two, regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') or starts_with(name, '[') as address,
   count(bad) as n, coalesce(sum(bad), 0) as bad from o group by host),
 hosts as (select host, case when address then name when two in {reputation.SUFFIXES} then array_to_string(parts[-3:], '.') else two end as domain,
