@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colweave import PROFILES, audit_cells, get_profile, match_columns
-from colweave.operators import rank as R, scoring as S
+from colweave.operators import candidates as N, rank as R, scoring as S
 from colweave.plans.matching import audit_columns
 from colweave.plans.profiles import Profile
 
@@ -231,3 +231,14 @@ def test_profile_lookup():
     assert isinstance(get_profile("tagged", min_ratio=0.8), Profile)
     with pytest.raises(ValueError):
         get_profile("nope")
+
+
+def test_ties_do_not_depend_on_how_equal_scores_were_counted(spark):
+    """A thousand hits of one score weigh the same as one row of a thousand and as a thousand rows: the first column wins."""
+    p = get_profile("weighted")
+    rows = [(0, 0, 0.999, 1)] * 1000 + [(0, 1, 0.999, 1000)]
+    scored = spark.createDataFrame(rows, "d_ord int, s_ord int, score double, n long").coalesce(1).withColumn("tag", F.lit("similarity"))
+    best = R.best_sources(p, N.hit_candidates(p, N.hit_statistics(p, scored))).first()
+    assert (best["s_ord"], best["weighted_score"], best["avg_score"]) == (0, 999.0, 0.999)
+    means = {r["s_ord"]: r["score"] for r in N.mean_statistics(scored).collect()}
+    assert means == {0: 0.999, 1: 0.999}
