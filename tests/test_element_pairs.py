@@ -104,3 +104,12 @@ def test_a_row_without_alike_elements_is_a_miss(spark):
     vocabulary = spark.createDataFrame([("", 4), ("abc", 1)], "gram string, df long")
     out = S.score_open(get_profile("weighted"), spark.createDataFrame(rows, schema), vocabulary, Workspace(spark), prune=True)
     assert [(r.ck, r.n, r.score) for r in out.collect()] == [(1, 1, 0.0)]
+
+
+def test_exploded_runs_are_never_broadcast(spark):
+    """The planner takes exploded runs and the rows' texts for small tables; on the driver they are not."""
+    rows = spark.createDataFrame([(1, ["large ring", "hot bolt"], ["lage ring", "ho bolt"])], "ck long, d_els array<string>, s_els array<string>")
+    found = S.alike_element_pairs(get_profile("weighted"), rows, ["ck"])
+    assert {("large ring", "lage ring"), ("hot bolt", "ho bolt")} <= {(r["a"], r["b"]) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
