@@ -43,3 +43,18 @@ def test_cosine(spark, broadcast_grams):
 def test_pair_key_keeps_splits_apart(evaluate):
     keys = evaluate(S.pair_key, ("a", "bc"), ("ab", "c"), ("a", "bc"), ("1:a", "b"))
     assert keys[0] == keys[2] and len(set(map(bytes, keys))) == 3
+
+
+def test_weights_get_tasks_by_their_terms(spark, monkeypatch):
+    """However small the values are as a file: no task weighs much more than its share of the grams."""
+    monkeypatch.setattr(tfidf, "TASK_TERMS", 10)
+    docs = spark.createDataFrame(DOCS, "doc string, times long")
+    vocabulary = Workspace(spark).table(tfidf.document_frequency(docs), "vocabulary")
+    values = spark.range(100).select(F.col("id").alias("vk"), F.concat(F.lit("banana"), F.col("id")).alias("el"))
+    assert tfidf.unit_weights(values, vocabulary, terms=990).rdd.getNumPartitions() == 100
+    seen = []
+    whole = tfidf.unit_weights
+    monkeypatch.setattr(tfidf, "unit_weights", lambda *args: seen.append(args[-1]) or whole(*args))
+    pairs = spark.createDataFrame(PAIRS, "a string, b string").withColumn("ek", S.pair_key(F.col("a"), F.col("b")))
+    tfidf.cosine(pairs, vocabulary)
+    assert seen == [3 * sum(len(a) + len(b) for a, b in PAIRS)]
