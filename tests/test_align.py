@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,13 @@ def test_one_exchange_per_side(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 2
     assert plan.count("Generate explode") == 2
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ranges_of_a_hot_id_are_not_gathered_by_their_bytes(spark):
+    """Ranges are dealt to a given number of tasks; tasks merged by their bytes would get them all."""
+    owner = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    df = spark.range(600).select(owner.alias("k"), "id", F.concat(F.lit("v"), F.col("id")).alias("v"))
+    merged = A.merge_duplicates(df, "k", ["v"], ["id"], hot_rows=50, tasks=12)
+    assert merged_rows(merged)["hot"] == [" | ".join(f"v{i}" for i in range(0, 600, 3))]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[rid#\d+, range#\d+\], 12", plan)
