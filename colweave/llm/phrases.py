@@ -45,7 +45,9 @@ WIDER = 8
 #: Bits of an open-set bitmap: 16 for each member, at least 2^16 and at most these.
 MAX_BITS = 27
 #: Words of a chunk, and words that a task holds before it hands its counts on.
-HELD_WORDS, HELD_GRAMS = 500_000, 1_500_000
+HELD_WORDS, HELD_GRAMS = 200_000, 500_000
+#: Rows of a batch of counts that goes to Spark.
+BATCH_ROWS = 1 << 16
 _SALTS = 64
 
 # Fixed values: ``.`` stands for every character that ends a piece; A-Z become a-z.
@@ -243,18 +245,20 @@ def count_grams(chunks: DataFrame, k: int, frequent: Bitmap, opened: list[Bitmap
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows() -> pa.RecordBatch:
-            found = _grams(k, *_merged(held, frequent), opened)
+        def rows() -> Iterator[pa.RecordBatch]:
+            run, names = _merged(held, frequent)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], [*columns, "a"])
+            found = _grams(k, run, names, opened)
+            for at in range(0, len(found[0]), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BATCH_ROWS]) for x in found], [*columns, "a"])
 
         for batch in batches:
             for names, run in zip(batch.column(0), batch.column(1)):
                 held.append((np.frombuffer(names.as_buffer(), np.int64), np.frombuffer(run.as_buffer(), np.int32)))
                 if sum(len(r) for _, r in held) > HELD_GRAMS:
-                    yield rows()
+                    yield from rows()
         if held:
-            yield rows()
+            yield from rows()
 
     counted = chunks.select("names", "run").mapInArrow(count, ", ".join(f"{c} bigint" for c in [*columns, "a"]))
     return counted.groupBy(*columns).agg(F.sum("a").alias("a"))
