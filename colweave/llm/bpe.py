@@ -42,6 +42,8 @@ from .common import free_name
 #: Bytes of remembered pre-tokens and ids per worker and generation (there are two), with what Python adds to an entry.
 CACHE_BYTES = 100 << 20
 _ENTRY_BYTES = 210
+#: Texts of a batch whose Python strings and ids a worker holds at a time.
+BATCH_ROWS = 500
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
@@ -348,12 +350,14 @@ class Tokenizer:
         @F.arrow_udf("array<int>")
         def ids(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _of_worker(f"encode {token}", lambda: Encoder(shared.value, cache_bytes))
-            for texts in it:
-                with _no_cycles():
-                    packed = [encoder.packed(t) for t in texts.to_pylist()]
-                ends = np.cumsum([0, *map(len, packed)]) // 4
-                flat = np.frombuffer(b"".join(packed), "<i4")
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            for batch in it:
+                for at in range(0, len(batch), BATCH_ROWS):
+                    texts = batch.slice(at, BATCH_ROWS)
+                    with _no_cycles():
+                        packed = [encoder.packed(t) for t in texts.to_pylist()]
+                    ends = np.cumsum([0, *map(len, packed)]) // 4
+                    flat = np.frombuffer(b"".join(packed), "<i4")
+                    yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             if not keep:
                 _held.clear()
 

@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 SIMILARITY = (80, 100)
 
 #: Bytes that a worker remembers of the tokenizer's pieces: the other stages run on the same executors.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 8 << 20
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from colweave.llm import bpe, chat, decontaminate as D, licences, quality_rules as Q, reputation, secrets
+from colweave.llm import bpe, chat, decontaminate as D, licences, quality_rules as Q, queries, reputation, secrets
 
 AWKWARD = [
     None,
@@ -368,3 +368,14 @@ def test_bpe_against_the_merge_library(spark, docs):
         assert list(r[ids]) == own.encode_ordinary(r.text or "")
         assert bytes(r[back]) == (r.text or "").encode()
     assert tokenizer.encode(docs.limit(0))[0].count() == 0
+
+
+def test_bpe_of_batches_cut_in_slices(spark):
+    """More texts than a worker holds at a time, some null or empty, keep their ids and their order."""
+    text = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 7 == 1, "").otherwise(F.concat(F.lit("some words no "), F.col("id")))
+    df = spark.range(2 * bpe.BATCH_ROWS + 3).coalesce(1).withColumn("text", text)
+    tokenizer = bpe.Tokenizer(spark, *queries.vocabulary())
+    encoded, ids = tokenizer.encode(df)
+    decoded, back = tokenizer.decode(encoded, ids)
+    rows = decoded.collect()
+    assert len(rows) == 2 * bpe.BATCH_ROWS + 3 and all(bytes(r[back]).decode() == (r["text"] or "") for r in rows)
