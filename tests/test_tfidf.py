@@ -1,9 +1,11 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from colweave.functions import gramcount
 from colweave.operators import scoring as S, tfidf
 from colweave.plans.workspace import Workspace
 
@@ -58,3 +60,35 @@ def test_weights_get_tasks_by_their_terms(spark, monkeypatch):
     pairs = spark.createDataFrame(PAIRS, "a string, b string").withColumn("ek", S.pair_key(F.col("a"), F.col("b")))
     tfidf.cosine(pairs, vocabulary)
     assert seen == [3 * sum(len(a) + len(b) for a, b in PAIRS)]
+
+
+def test_grams_are_counted_slice_by_slice(monkeypatch):
+    """Whatever the slices: characters outside the BMP, NULs, equal documents, documents longer than a slice."""
+    texts = ["banana", "", "an", "\U0001f600x\U0001f600x\U0001f600x", "a\0\0\0\0b\0\0\0", "banana", "äöüß" * 9]
+    times = [3, 1, 2, 5, 1, 4, 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(times, pa.int64())], ["doc", "times"])
+    want = Counter()
+    for text, n in zip(texts, times):
+        for g in gram_counts(text):
+            want[g] += n
+    for chars, bits in [(1 << 20, 62), (10, 62), (1 << 20, 12), (1, 62)]:
+        monkeypatch.setattr(gramcount, "SLICE_CHARS", chars)
+        monkeypatch.setattr(gramcount, "KEY_BITS", bits)
+        got = Counter()
+        for out in gramcount.count_grams((3, 4, 5))(iter([batch])):
+            for gram, df in zip(*(c.to_pylist() for c in out.columns)):
+                got[gram] += df
+        assert got == want
+
+
+def test_grams_are_counted_in_tasks_by_the_input(spark, monkeypatch):
+    """Small documents are few bytes and many grams: their tasks are not left to AQE."""
+    monkeypatch.setattr(tfidf, "task_count", lambda *frames: 13)
+    docs = spark.createDataFrame([(f"doc {i}", 1) for i in range(300)], "doc string, times long").groupBy("doc").agg(F.sum("times").alias("times"))
+    seen = []
+    counted = gramcount.count_grams
+    monkeypatch.setattr(tfidf, "count_grams", lambda sizes: seen.append(sizes) or counted(sizes))
+    table = tfidf.document_frequency(docs)
+    assert seen == [(3, 4, 5)]
+    assert "REPARTITION_BY_NUM" in table._jdf.queryExecution().executedPlan().toString()
+    assert table.where("gram = ''").first()["df"] == 300 and table.where("gram = 'doc'").first()["df"] == 300
