@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from colweave import PROFILES, audit_cells, get_profile, match_columns
-from colweave.operators import candidates as N, rank as R, scoring as S
+from colweave.functions import text as X
+from colweave.operators import align as A, candidates as N, rank as R, scoring as S
 from colweave.plans.matching import audit_columns
 from colweave.plans.profiles import Profile
 
@@ -242,3 +245,30 @@ def test_ties_do_not_depend_on_how_equal_scores_were_counted(spark):
     assert (best["s_ord"], best["weighted_score"], best["avg_score"]) == (0, 999.0, 0.999)
     means = {r["s_ord"]: r["score"] for r in N.mean_statistics(scored).collect()}
     assert means == {0: 0.999, 1: 0.999}
+
+
+@pytest.mark.parametrize("backend", ["indel", "difflib"])
+def test_edit_ceiling_is_above_every_score(spark, backend):
+    """Random short values of few letters; the bound with edits is no looser than the one from lengths."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc1") for _ in range(rng.randint(1, 9)))
+    rows = [(a, b) for a, b in ((word(), word()) for _ in range(400)) if a != b]
+    p = get_profile("tagged", fuzzy_backend=backend)
+    pairs = spark.createDataFrame(rows, "a string, b string").distinct().withColumn("ek", S.pair_key(F.col("a"), F.col("b")))
+    a, b = F.col("a"), F.col("b")
+    alike = F.arrays_overlap(X.grams(a, 3), X.grams(b, 3)).cast("double")
+    score = S.element_scores(p, a, b, F.col("ratio"), F.col("partial"), F.col("lev"), alike)["score"]
+    bounds = S.measure(p, pairs).select(score.alias("score"), S._ceiling(p, a, b, edits=True).alias("edits"), S._ceiling(p, a, b).alias("lengths"))
+    got = bounds.where("score is not null").collect()
+    assert len(got) > 300
+    assert all(r.score <= r.edits + 1e-9 and r.edits <= r.lengths + 1e-9 for r in got)
+
+
+def test_unlike_short_values_are_settled_on_the_row(spark):
+    """Lengths alone would leave these pairs open, and send their text through a shuffle."""
+    p = get_profile("weighted")
+    cell = lambda text: [(0, text)]
+    kind = "d_cells array<struct<ord:int,raw:string>>, s_cells array<struct<ord:int,raw:string>>"
+    rows = spark.createDataFrame([(cell("customer#000000123"), cell("furniture shop 4711")), (cell("abcdefgh"), cell("abcdefgi"))], kind)
+    states = S.resolve(p, A.expand_pairs(S.with_features(p, rows)), prune=True).select("state").collect()
+    assert [r.state for r in states] == ["known", "open"]

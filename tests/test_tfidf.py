@@ -92,3 +92,12 @@ def test_grams_are_counted_in_tasks_by_the_input(spark, monkeypatch):
     assert seen == [(3, 4, 5)]
     assert "REPARTITION_BY_NUM" in table._jdf.queryExecution().executedPlan().toString()
     assert table.where("gram = ''").first()["df"] == 300 and table.where("gram = 'doc'").first()["df"] == 300
+
+
+def test_cosine_moves_no_terms_with_a_broadcast_vocabulary(spark):
+    """One shuffle of the pairs' texts: no join of terms with weights, no text sorted by another key."""
+    docs = spark.createDataFrame(DOCS, "doc string, times long")
+    vocabulary = Workspace(spark).table(tfidf.document_frequency(docs), "vocabulary")
+    pairs = spark.createDataFrame(PAIRS, "a string, b string").withColumn("ek", S.pair_key(F.col("a"), F.col("b")))
+    plan = tfidf.cosine(pairs, vocabulary)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1
