@@ -11,8 +11,11 @@
 3. *Small nodes* (at most ``SMALL`` classes) are compared exhaustively, all
    signatures against all.  Pairs whose signatures agree too little (4.5 standard
    deviations below the wanted similarity) or whose sizes rule the similarity out
-   are dropped; a spanning forest of the rest is confirmed first, and then all
-   pairs that confirmed links have not connected by then.
+   are dropped; a spanning forest of the rest is confirmed first.  All pairs that
+   confirmed links have not connected by then are confirmed inside their nodes: the
+   full sets of the members with such a pair go there, and a pair of several nodes
+   is looked at where it meets first.  Only links leave a node, so rows grow with the
+   members, not with their pairs.
 4. *Large nodes* are split into random blocks, which give a spanning forest and a
    medoid each; the best medoid becomes the node's hub and is compared with every
    member.  A node whose members are all connected by confirmed links is done; of
@@ -45,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.workspace import Workspace
 from .common import free_name
@@ -289,16 +292,59 @@ def common_shingles(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return total[at[: len(a)], at[len(a) :]].astype(np.int64)
 
 
+def meet_first(a: np.ndarray, b: np.ndarray, path: int, around: np.ndarray) -> np.ndarray:
+    """Whether the members at ``a`` and ``b`` of a node share no node of a lesser path; ``around`` has each member's nodes."""
+    lesser = [x[x < path] for x in around]
+    places, at = np.unique(np.concatenate(lesser), return_inverse=True)
+    held = np.zeros((len(lesser), len(places)), np.float32)
+    held[np.repeat(np.arange(len(lesser)), [len(x) for x in lesser]), at] = 1
+    return (held @ held.T)[a, b] == 0
+
+
+def _with_partner(similarity: tuple[int, int]):
+    """The rows of each node that have a possible partner, as far as the two do not meet in a lesser node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            *plain, sig, around = (np.concatenate(c) for c in zip(*found))
+            found.clear()
+            sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(MINS), len(sig), [None, pa.py_buffer(sig.tobytes())])
+            columns = [*map(pa.array, plain), sigs.cast(pa.binary()), pa.array(list(around), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["path", "block", "cid", "comp", "n", "sig", "around"])
+
+        for node in _nodes(batches):
+            path, _, cid, comp, n, sig, around = node
+            a, b, _ = possible_pairs(comp, n, sig, similarity)
+            here = meet_first(a, b, path[0], around)
+            own = np.union1d(a[here], b[here])
+            if len(own):
+                found.append(tuple(c[own] for c in node))
+            if sum(len(f[0]) for f in found) >= 2_000:
+                yield rows()
+        if found:
+            yield rows()
+
+    return run
+
+
 def _confirm_inside(similarity: tuple[int, int]):
-    """Links (u, v) between different components of each node, confirmed on the full sets its rows hold."""
+    """Links (u, v) that join different components of each node, confirmed on the full sets its rows hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num, den = similarity
-        for path, _, cid, comp, n, sig, sets in _nodes(batches):
-            a, b, _ = possible_pairs(comp, n, sig, similarity)
+        for path, _, cid, comp, n, sig, sets, *around in _nodes(batches):
+            a, b, agree = possible_pairs(comp, n, sig, similarity)
+            if around:
+                here = meet_first(a, b, path[0], around[0])
+                a, b = a[here], b[here]
             common = common_shingles(sets, a, b)
             good = common * den >= (n[a] + n[b] - common) * num
-            yield pa.RecordBatch.from_arrays([pa.array(cid[a[good]]), pa.array(cid[b[good]])], ["u", "v"])
+            a, b = a[good], b[good]
+            keep = spanning(a, b, agree[a, b], comp, cid)
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(cid[a[keep]]), pa.array(cid[b[keep]])], ["u", "v"])
 
     return run
 
@@ -324,8 +370,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield tuple(rest)
 
 
-def _compare(similarity: tuple[int, int], forest: bool, medoids: bool):
-    """Pairs (a, b) of each node; with ``medoids`` also its medoid, as (path, a = b, score)."""
+def _compare(similarity: tuple[int, int], medoids: bool):
+    """A spanning forest (a, b) of each node; with ``medoids`` also its medoid, as (path, a = b, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
@@ -341,9 +387,8 @@ def _compare(similarity: tuple[int, int], forest: bool, medoids: bool):
             if len(cid) < 2 and not medoids:
                 continue
             a, b, agree = possible_pairs(comp, n, sig, similarity)
-            if forest:
-                keep = spanning(a, b, agree[a, b], comp, cid)
-                a, b = a[keep], b[keep]
+            keep = spanning(a, b, agree[a, b], comp, cid)
+            a, b = a[keep], b[keep]
             x, y = cid[a], cid[b]
             for o, values in zip(out, (path[a], np.minimum(x, y), np.maximum(x, y), np.zeros(len(a)))):
                 o.extend(values.tolist())
@@ -406,15 +451,15 @@ class _Search:
         )
         return sizes.where("low < high").select("path", "size")
 
-    def members(self, nodes: DataFrame, chosen: DataFrame, block: Column) -> DataFrame:
-        """Rows of the chosen nodes as ``NODE``, one task per (path, block), sorted by it."""
+    def members(self, nodes: DataFrame, chosen: DataFrame, block: Column, *more: Column) -> DataFrame:
+        """Rows of the chosen nodes as ``NODE`` and ``more``, one task per (path, block), sorted by it."""
         rows = self.labelled(nodes).join(chosen, "path")
         rows = rows.join(self.classes.select("cid", "n", "sig"), "cid").withColumn("block", block)
-        rows = rows.select("path", "block", "cid", "comp", "n", "sig")
+        rows = rows.select("path", "block", "cid", "comp", "n", "sig", *more)
         return rows.repartition(self.tasks(self.n_nodes), "path", "block").sortWithinPartitions("path", "block")
 
-    def compare(self, rows: DataFrame, forest: bool, medoids: bool = False) -> DataFrame:
-        run = _compare(self.similarity, forest, medoids)
+    def compare(self, rows: DataFrame, medoids: bool = False) -> DataFrame:
+        run = _compare(self.similarity, medoids)
         return rows.mapInArrow(run, "path bigint, a bigint, b bigint, score double")
 
     def hub_pairs(self, nodes: DataFrame, large: DataFrame, found: DataFrame) -> DataFrame:
@@ -483,6 +528,24 @@ class _Search:
         links = both.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
         self.link(self.few(links, n, TASK_SETS), name)
 
+    def confirm_all(self, nodes: DataFrame, small: DataFrame, name: str) -> None:
+        """Check all pairs of small nodes that may be similar, where their members meet first, and note the links.
+
+        A class is in a number of nodes that the trees bound, whatever its group's size.
+        """
+        around = F.collect_list("path").over(Window.partitionBy("cid")).alias("around")
+        rows = self.members(nodes, small, F.lit(0).cast("long"), around)
+        asked = rows.mapInArrow(_with_partner(self.similarity), f"{NODE}, around array<bigint>")
+        asked, seen = self.counted(asked, f"{name}_asked")
+        n = seen["n"]
+        if not n:
+            return
+        self.add_sets(asked.select(F.col("cid").alias("a"), F.col("cid").alias("b")), n)
+        rows = asked.join(self.sets_of(asked, "cid", n), "cid")
+        rows = rows.select("path", "block", "cid", "comp", "n", "sig", "shingles", "around")
+        rows = rows.repartition(self.tasks(n, TASK_SETS), "path", "block").sortWithinPartitions("path", "block")
+        self.link(rows.mapInArrow(_confirm_inside(self.similarity), "u bigint, v bigint"), name)
+
     def link(self, found: DataFrame, name: str) -> None:
         """Note confirmed links (u, v)."""
         edges, seen = self.counted(found, f"{name}_edges")
@@ -528,24 +591,21 @@ class _Search:
         if not seen["n"]:
             return None
         small, large = open_now.where(F.col("size") <= SMALL), open_now.where(F.col("size") > SMALL)
-        pairs = self.compare(self.members(nodes, small.select("path"), F.lit(0).cast("long")), forest=True).select("a", "b")
+        pairs = self.compare(self.members(nodes, small.select("path"), F.lit(0).cast("long"))).select("a", "b")
         if seen["largest"] > SMALL:
             blocks = F.ceil(F.col("size") / SMALL)
             rows = self.members(nodes, large, F.pmod(F.xxhash64(F.lit(depth), "cid"), blocks))
-            found = self.keep(self.compare(rows, forest=True, medoids=True), "blocks")
+            found = self.keep(self.compare(rows, medoids=True), "blocks")
             pairs = pairs.unionByName(found.where("a <> b").select("a", "b"))
             pairs = pairs.unionByName(self.hub_pairs(nodes, large, found))
         # A forest has fewer pairs than members, and so have the hubs.
         self.confirm(pairs, f"forest{depth}", 2 * self.n_nodes)
         self.settle()
-        in_small = F.sum(F.when(F.col("size") <= SMALL, F.col("size") * (F.col("size") - 1) / 2).cast("long"))
         still = self.few(self.open_nodes(nodes), self.n_nodes)
-        still, seen = self.counted(still, "still_open", largest=F.max("size"), pairs=in_small)
+        still, seen = self.counted(still, "still_open", largest=F.max("size"))
         if not seen["n"]:
             return None
-        rest = still.where(F.col("size") <= SMALL).select("path")
-        rows = self.members(nodes, rest, F.lit(0).cast("long"))
-        self.confirm(self.compare(rows, forest=False), f"all{depth}", seen["pairs"] or 0)
+        self.confirm_all(nodes, still.where(F.col("size") <= SMALL).select("path"), f"all{depth}")
         if seen["largest"] <= SMALL:
             return None
         rest = still.where(F.col("size") > SMALL)
@@ -553,7 +613,7 @@ class _Search:
             self.settle()
             self.finish(nodes, rest)
             return None
-        inner = self.labelled(nodes).join(rest.select("path"), "path").join(self.classes.select("cid", "sig"), "cid")
+        inner = self.labelled(nodes).join(rest.select("path"), "path", "left_semi").join(self.classes.select("cid", "sig"), "cid")
         # The members of a large node are dealt out before they are branched on.
         inner = inner.repartition(self.tasks(self.n_nodes), "cid", "path").withColumn("to", F.arrow_udf(_children, "array<bigint>")("path", "sig"))
         below, seen = self.counted(inner.select(F.explode("to").alias("path"), "cid", "comp"), "children")
@@ -571,7 +631,7 @@ class _Search:
         compared inside it.  Members of the largest component are not compared with
         each other; the others are.
         """
-        rows = self.labelled(nodes).join(large.select("path"), "path")
+        rows = self.keep(self.few(self.labelled(nodes).join(large.select("path"), "path", "left_semi"), self.n_nodes), "large")
         parts = rows.groupBy("path", "comp").agg(F.count("*").alias("c"))
         parts = parts.groupBy("path").agg(
             F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all")
@@ -582,7 +642,8 @@ class _Search:
             "path", "cid", "comp", (F.col("comp") == F.col("main")).alias("in_main"), inside.alias("k"), outside.alias("m")
         )
         own = F.pmod(F.xxhash64(F.lit(-1), "cid"), F.when(F.col("in_main"), F.col("k")).otherwise(F.col("m")))
-        rows = rows.withColumn("own", own)
+        # Read three times: joined once.
+        rows = self.keep(self.few(rows.withColumn("own", own), self.n_nodes), "blocks_of")
         k, m, own = F.col("k"), F.col("m"), F.col("own")
         upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
         with_outside = F.transform(upto(m), lambda j: j * k + own)

@@ -85,6 +85,33 @@ def test_against_all_pairs(spark, corpus, monkeypatch, small, depth, similarity)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_almost_similar_pairs_make_no_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(300)]
+    rows = [(i, varied(rng, base, 4)) for i in range(120)]  # about 0.76 to each other
+    rows += [(200 + i, t + " z") for i, t in rows[:3]]
+    made = {}
+    counted = Workspace.counted
+
+    def seen(self, df, name, **more):
+        told = counted(self, df, name, **more)
+        made[name.split("_", 1)[1]] = told[1]["n"]
+        return told
+
+    monkeypatch.setattr(Workspace, "counted", seen)
+    out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(n, c) for n, _, c in plain_components(rows, N.SIMILARITY)}
+    assert made["still_open"] > 1 and max(made.values()) <= 2 * made["nodes"] < 120 * 119 / 2, made
+
+
+def test_a_pair_is_looked_at_in_one_node():
+    around = np.empty(3, object)
+    around[:] = [np.array(x) for x in ([-4, 3, 7], [3, 7], [7])]
+    a, b = np.array([0, 0, 1]), np.array([1, 2, 2])
+    assert N.meet_first(a, b, 7, around).tolist() == [False, True, True]
+    assert N.meet_first(a[:1], b[:1], 3, around[:2]).tolist() == [True]
+
+
 def test_representatives_and_empty(spark, corpus):
     docs = spark.createDataFrame([(*r, "s") for r in corpus], "doc_id long, text string, dropped_id string")
     kept = N.keep_representatives(docs)
