@@ -38,6 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.workspace import Workspace
+from .common import frugal
 
 TOP, LEAST, COVER, SCALE = 2000, 30, 80, 1_000_000
 #: Prefixes of the next round against those of this one.
@@ -92,7 +93,7 @@ class Bitmap:
                 if len(slot):
                     yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bitwise_or.reduceat(part, first))], ["slot", "bits"])
 
-        found = members.mapInArrow(places, "slot int, bits bigint").groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits"))
+        found = members.mapInArrow(frugal(places), "slot int, bits bigint").groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits"))
         told = found.toArrow()
         words = np.zeros(1 << (bits - 6), np.int64)
         words[told["slot"].to_numpy()] = told["bits"].to_numpy()
@@ -107,18 +108,20 @@ class Bitmap:
 
 
 class _Numbers(dict):
-    """Word of a language to its number in a chunk; 0 ends a piece."""
+    """Word of a language to its number in a chunk; 0 ends a piece.
 
-    def __init__(self, lang: str, seed: int, chunk: _Chunk):
+    It knows the chunk's lists, not the chunk: a cycle would keep finished chunks in memory.
+    """
+
+    def __init__(self, lang: str, seed: int, names: list, words: list, langs: list):
         super().__init__({b".": 0})
-        self.lang, self.seed, self.chunk = lang, seed, chunk
+        self.lang, self.seed, self.names, self.words, self.langs = lang, seed, names, words, langs
 
     def __missing__(self, word: bytes) -> int:
-        chunk = self.chunk
-        self[word] = at = len(chunk.names)
-        chunk.names.append(_name(self.lang, word, self.seed))
-        chunk.words.append(word)
-        chunk.langs.append(self.lang)
+        self[word] = at = len(self.names)
+        self.names.append(_name(self.lang, word, self.seed))
+        self.words.append(word)
+        self.langs.append(self.lang)
         return at
 
 
@@ -133,7 +136,7 @@ class _Chunk:
     def add(self, lang: str, text: str) -> None:
         numbers = self.numbers.get(lang)
         if numbers is None:
-            numbers = self.numbers[lang] = _Numbers(lang, self.seed, self)
+            numbers = self.numbers[lang] = _Numbers(lang, self.seed, self.names, self.words, self.langs)
         self.run.extend(map(numbers.__getitem__, tokens(text)))
         self.run.append(0)
 
@@ -177,7 +180,7 @@ def encode(docs: DataFrame, seed: int) -> DataFrame:
         yield chunk.row()
 
     words = "array<struct<lang: string, name: bigint, word: string, n: bigint>>"
-    return docs.mapInArrow(read, f"names binary, run binary, words {words}")
+    return docs.mapInArrow(frugal(read), f"names binary, run binary, words {words}")
 
 
 def _merged(chunks: list[tuple[np.ndarray, np.ndarray]], frequent: Bitmap) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +263,7 @@ def count_grams(chunks: DataFrame, k: int, frequent: Bitmap, opened: list[Bitmap
         if held:
             yield from rows()
 
-    counted = chunks.select("names", "run").mapInArrow(count, ", ".join(f"{c} bigint" for c in [*columns, "a"]))
+    counted = chunks.select("names", "run").mapInArrow(frugal(count), ", ".join(f"{c} bigint" for c in [*columns, "a"]))
     return counted.groupBy(*columns).agg(F.sum("a").alias("a"))
 
 
