@@ -37,7 +37,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free_name
+from .common import free_name, give_back
 
 #: Bytes of remembered pre-tokens and ids per worker and generation (there are two), with what Python adds to an entry.
 CACHE_BYTES = 100 << 20
@@ -360,6 +360,8 @@ class Tokenizer:
                     yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             if not keep:
                 _held.clear()
+                encoder = None
+                give_back()
 
         name = free_name(df, result)
         return df.withColumn(name, ids(F.col(text_col))), name

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.workspace import Workspace
-from .common import free_name
+from .common import free_name, frugal
 from .components import components
 
 WORDS = 5
@@ -152,6 +152,7 @@ def sketch(text: str | None) -> dict:
     return {"n": len(found), "cid": set_id(found), "sig": sig.tobytes(), "roots": roots(mins).astype(np.int64).tolist()}
 
 
+@frugal
 def _sketches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
         yield pa.array([sketch(t.as_py()) for t in texts], _SKETCH)
@@ -162,11 +163,13 @@ def set_id(found: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else None
 
 
+@frugal
 def _set_ids(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
         yield pa.array([set_id(shingles(t.as_py())) for t in texts], pa.int64())
 
 
+@frugal
 def _full_sets(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
         ids, values, ends = [], [np.zeros(0, np.int64)], [0]
@@ -184,6 +187,7 @@ def signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINS)
 
 
+@frugal
 def _children(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Children of a node that a class enters, by the node's path and the class's signature.
 
@@ -460,7 +464,7 @@ class _Search:
 
     def compare(self, rows: DataFrame, medoids: bool = False) -> DataFrame:
         run = _compare(self.similarity, medoids)
-        return rows.mapInArrow(run, "path bigint, a bigint, b bigint, score double")
+        return rows.mapInArrow(frugal(run), "path bigint, a bigint, b bigint, score double")
 
     def hub_pairs(self, nodes: DataFrame, large: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs of each large node's hub and its members that may be similar."""
@@ -535,7 +539,7 @@ class _Search:
         """
         around = F.collect_list("path").over(Window.partitionBy("cid")).alias("around")
         rows = self.members(nodes, small, F.lit(0).cast("long"), around)
-        asked = rows.mapInArrow(_with_partner(self.similarity), f"{NODE}, around array<bigint>")
+        asked = rows.mapInArrow(frugal(_with_partner(self.similarity)), f"{NODE}, around array<bigint>")
         asked, seen = self.counted(asked, f"{name}_asked")
         n = seen["n"]
         if not n:
@@ -544,7 +548,7 @@ class _Search:
         rows = asked.join(self.sets_of(asked, "cid", n), "cid")
         rows = rows.select("path", "block", "cid", "comp", "n", "sig", "shingles", "around")
         rows = rows.repartition(self.tasks(n, TASK_SETS), "path", "block").sortWithinPartitions("path", "block")
-        self.link(rows.mapInArrow(_confirm_inside(self.similarity), "u bigint, v bigint"), name)
+        self.link(rows.mapInArrow(frugal(_confirm_inside(self.similarity)), "u bigint, v bigint"), name)
 
     def link(self, found: DataFrame, name: str) -> None:
         """Note confirmed links (u, v)."""
@@ -655,7 +659,7 @@ class _Search:
         members = members.join(self.classes.select("cid", "n", "sig"), "cid").join(self.sets_of(rows, "cid"), "cid")
         members = members.select("path", F.explode("blocks").alias("block"), "cid", "comp", "n", "sig", "shingles")
         sorted_rows = members.repartition("path", "block").sortWithinPartitions("path", "block")
-        links = sorted_rows.mapInArrow(_confirm_inside(self.similarity), "u bigint, v bigint")
+        links = sorted_rows.mapInArrow(frugal(_confirm_inside(self.similarity)), "u bigint, v bigint")
         self.link(links, "rest")
 
     def groups(self) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_name, plain_words
+from .common import free_name, frugal, plain_words
 from .near_dedup import id_filter
 
 BITS = 15
@@ -118,7 +118,7 @@ def count_grams(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
             [pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"]
         )
 
-    counted = flagged.mapInArrow(count, "bucket int, raw bigint, target bigint")
+    counted = flagged.mapInArrow(frugal(count), "bucket int, raw bigint, target bigint")
     return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -153,6 +153,7 @@ def quality_rules(
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col, id_col))
 
     @F.arrow_udf(RULES)
+    @frugal
     def rules(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ratios = model.value
         for texts in it:
